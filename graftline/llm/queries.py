@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, token_files
+from . import decontaminate, mixing, simhash, token_files
 
 QUERIES = {
     "op6_systematic_mix": mixing.op6_systematic_mix,
+    "op8_simhash_components": simhash.op8_simhash_components,
     "op9_huffman_token_files": token_files.op9_huffman_token_files,
+    "op10_wu_manber": decontaminate.op10_wu_manber,
 }
 
-ORACLE_SQL = {"op6_systematic_mix": mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op6_systematic_mix": mixing.ORACLE_SQL,
+    "op10_wu_manber": decontaminate.ORACLE_SQL,
+}

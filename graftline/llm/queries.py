@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, mixing, simhash, token_files, winnowing
+from . import chat, decontaminate, langid, line_dedup, mixing, simhash, token_files, winnowing
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
+    "op2_language_bitmask": langid.op2_language_bitmask,
     "op5_winnowing": winnowing.op5_winnowing,
     "op6_systematic_mix": mixing.op6_systematic_mix,
     "op7_line_hash_dedup": line_dedup.op7_line_hash_dedup,

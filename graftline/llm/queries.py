@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import attention_lm, chat, decontaminate, langid, line_dedup, mixing, simhash, token_files, winnowing
+from . import attention_lm, chat, cotraining, decontaminate, langid, line_dedup, mixing, simhash, token_files, winnowing
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
     "op2_language_bitmask": langid.op2_language_bitmask,
+    "op3_cotraining": cotraining.op3_cotraining,
     "op4_attention_lm": attention_lm.op4_attention_lm,
     "op5_winnowing": winnowing.op5_winnowing,
     "op6_systematic_mix": mixing.op6_systematic_mix,

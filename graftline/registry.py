@@ -1,4 +1,5 @@
 """All queries of the engine over the tables of a data folder, and the SQL that states each one."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

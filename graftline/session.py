@@ -40,3 +40,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, os.path.join(package.name, f.relative_to(package)))
     sc.addPyFile(str(archive))
     sc._graftline_shipped = True
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The session's own ``spark.checkpoint.dir`` holds; only where none is set a local one is made."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="graftline-checkpoints-"))

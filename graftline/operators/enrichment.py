@@ -111,7 +111,7 @@ def candidate_set(retrieved: DataFrame, concepts: DataFrame, par: DataFrame, ch:
                   leaf_priority: bool = True, scorer=None) -> tuple[DataFrame, DataFrame]:
     """Stage two as one plan: (ranked candidates, pool sizes). scorer: edges -> edges with score;
     by default the mean similarity of the ends by the retrieved scores."""
-    seeds = seed_edges(retrieved, par, ch)
+    seeds = seed_edges(retrieved, par, ch).cache()  # read by every branch of the enrichment and by the sizes
     pool = enrich(seeds, par, ch) if enrichment else seeds
     scored = scorer(pool) if scorer else endpoint_scores(pool, retrieved)
     leafy = top_is_leaf(retrieved, concepts, ch) if leaf_priority else None

@@ -236,13 +236,13 @@ def is_descendant(t):
 @query(f"WITH {SQL_EDGES}, {SQL_CONCEPTS}, {SQL_RETRIEVED}, {SQL_SEEDS} SELECT mention_id, parent_id, child_id FROM seeds")
 def construct_edges(t):
     e = views.edges(t)
-    return enrichment.seed_edges(views.retrieved(t).cache(), e, e)
+    return enrichment.seed_edges(views.retrieved(t), e, e)
 
 
 def _pool(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e, r = views.edges(t), views.retrieved(t).cache()
-    seeds = enrichment.seed_edges(r, e, e)
-    return r, seeds, enrichment.enrich(seeds, e, e)
+    e, r = views.edges(t), views.retrieved(t)
+    seeds = t.kept("seeds", lambda: enrichment.seed_edges(r, e, e))
+    return r, seeds, t.kept("pool", lambda: enrichment.enrich(seeds, e, e))
 
 
 @query(f"WITH {SQL_POOL} SELECT mention_id, parent_id, child_id FROM enriched")
@@ -256,7 +256,7 @@ def enrich_leaf_guard(t):
 
 
 def _candidates(t: Tables, k: int | None = 10, **switches) -> DataFrame:
-    e, r = views.edges(t), views.retrieved(t).cache()
+    e, r = views.edges(t), views.retrieved(t)
     ranked, _ = enrichment.candidate_set(r, views.concepts(t), e, e, k, **switches)
     return ranked
 
@@ -298,8 +298,8 @@ def enrichment_stats(t):
     return enrichment.enrichment_statistics(enrichment.pool_sizes(seeds, pool)).select(_r("mean_before"), _r("mean_after"), _r("factor"))
 
 
-@query(f"""WITH {SQL_POOL}, {sql_scored()}, {sql_ranked(10)}, e AS (SELECT mention_id, parent_id AS concept_id, rank * 2 AS at FROM ranked UNION ALL SELECT mention_id, child_id, rank * 2 + 1 FROM ranked),
-f AS (SELECT mention_id, concept_id, min(at) AS at FROM e GROUP BY ALL) SELECT mention_id, concept_id, row_number() OVER (PARTITION BY mention_id ORDER BY at) AS rank FROM f""")
+@query(f"""WITH {SQL_POOL}, {sql_scored()}, {sql_ranked(10)}, e AS (SELECT mention_id, parent_id AS concept_id, rank * 2 AS spot FROM ranked UNION ALL SELECT mention_id, child_id, rank * 2 + 1 FROM ranked),
+f AS (SELECT mention_id, concept_id, min(spot) AS spot FROM e GROUP BY ALL) SELECT mention_id, concept_id, row_number() OVER (PARTITION BY mention_id ORDER BY spot) AS rank FROM f""")
 def endpoint_order(t):
     return enrichment.endpoint_order(_candidates(t)).select("mention_id", "concept_id", _long("rank"))
 
@@ -310,7 +310,7 @@ SQL_LOOKED = f"""looked AS (SELECT s.mention_id, s.parent_id, s.child_id, CASE W
 @query(f"WITH {SQL_EDGES}, {SQL_CONCEPTS}, {SQL_RETRIEVED}, {SQL_SEEDS}, {SQL_GOLD}, {SQL_LOOKED} SELECT mention_id, count(*) FILTER (WHERE score = 1.0) AS n_scored, count(*) FILTER (WHERE isinf(score)) AS n_unscored FROM looked GROUP BY mention_id")
 def looked_up_scores(t):
     e = views.edges(t)
-    seeds = enrichment.seed_edges(views.retrieved(t).cache(), e, e)
+    seeds = enrichment.seed_edges(views.retrieved(t), e, e)
     s = enrichment.looked_up_scores(seeds, views.gold(t).withColumn("score", F.lit(1.0)))
     return s.groupBy("mention_id").agg(F.count_if(F.col("score") == 1.0).alias("n_scored"), F.count_if(F.col("score") == float("-inf")).alias("n_unscored"))
 
@@ -407,9 +407,9 @@ def build_prompt(t):
     return _listed(t).join(left, "mention_id").select("mention_id", prompts.build_prompt(F.col("c_mktsegment"), F.col("mention"), F.lit(""), F.col("candidates")).alias("prompt"))
 
 
-@query(f"""WITH {SQL_LISTED}, seen AS (SELECT mention_id, kind, v, min(rank) AS at FROM (SELECT mention_id, 'p' AS kind, parent AS v, rank FROM named UNION ALL SELECT mention_id, 'c', child, rank FROM named
+@query(f"""WITH {SQL_LISTED}, seen AS (SELECT mention_id, kind, v, min(rank) AS spot FROM (SELECT mention_id, 'p' AS kind, parent AS v, rank FROM named UNION ALL SELECT mention_id, 'c', child, rank FROM named
   UNION ALL SELECT mention_id, 'gp', parent, rank FROM named WHERE is_gold UNION ALL SELECT mention_id, 'gc', child, rank FROM named WHERE is_gold) GROUP BY ALL),
-lists AS (SELECT mention_id, kind, string_agg(v, '; ' ORDER BY at) AS l FROM seen GROUP BY ALL),
+lists AS (SELECT mention_id, kind, string_agg(v, '; ' ORDER BY spot) AS l FROM seen GROUP BY ALL),
 l AS (SELECT listed.mention_id, answer, c_name, (SELECT l FROM lists x WHERE x.mention_id = listed.mention_id AND kind = 'p') AS p, (SELECT l FROM lists x WHERE x.mention_id = listed.mention_id AND kind = 'c') AS c,
   (SELECT l FROM lists x WHERE x.mention_id = listed.mention_id AND kind = 'gp') AS gp, (SELECT l FROM lists x WHERE x.mention_id = listed.mention_id AND kind = 'gc') AS gc FROM listed JOIN customer ON 'M' || c_custkey = listed.mention_id)
 SELECT mention_id, '### Explanation' || chr(10) || '1. The mention is: ' || c_name || '.' || chr(10) || '2. Possible parents: ' || p || '.' || chr(10) || '3. Possible children: ' || c || '.' || chr(10) ||
@@ -496,10 +496,10 @@ RESAMPLES = 200
 @query(f"""WITH {SQL_NOLEAF}, d AS (SELECT c_custkey, CAST(EXISTS (SELECT 1 FROM ranked r JOIN gold g ON g.mention_id = r.mention_id AND g.parent_id = r.parent_id AND g.child_id = r.child_id WHERE r.mention_id = 'M' || c_custkey) AS INT)
   - CAST(EXISTS (SELECT 1 FROM plain r JOIN gold g ON g.mention_id = r.mention_id AND g.parent_id = r.parent_id AND g.child_id = r.child_id WHERE r.mention_id = 'M' || c_custkey) AS INT) AS d FROM customer),
 tally AS (SELECT count(*) AS n, count(*) FILTER (WHERE d < 0) AS below, count(*) FILTER (WHERE d > 0) AS above, avg(d) AS observed FROM d),
-draws AS (SELECT r, n, below, above, observed, CAST('0x' || substr(md5('42:' || r || ':' || i), 1, 8) AS BIGINT) % n AS at FROM tally, range({RESAMPLES}) AS a(r), range(0, (SELECT n FROM tally)) AS b(i)),
-sums AS (SELECT r, any_value(observed) AS observed, sum(CASE WHEN at < below THEN -1 WHEN at >= n - above THEN 1 ELSE 0 END) / any_value(n) AS d FROM draws GROUP BY r),
-s AS (SELECT *, row_number() OVER (ORDER BY d, r) - 1 AS at FROM sums)
-SELECT round(100 * max(observed), 6) AS observed, round((count(*) FILTER (WHERE abs(d) >= abs(observed)) + 1) / {RESAMPLES + 1}, 6) AS p_value, round(100 * max(d) FILTER (WHERE at = {int(0.025 * RESAMPLES)}), 6) AS low, round(100 * max(d) FILTER (WHERE at = {min(RESAMPLES - 1, int(0.975 * RESAMPLES))}), 6) AS high FROM s""")
+draws AS (SELECT r, n, below, above, observed, CAST('0x' || substr(md5('42:' || r || ':' || i), 1, 8) AS BIGINT) % n AS spot FROM tally, range({RESAMPLES}) AS a(r), range(0, (SELECT n FROM tally)) AS b(i)),
+sums AS (SELECT r, any_value(observed) AS observed, sum(CASE WHEN spot < below THEN -1 WHEN spot >= n - above THEN 1 ELSE 0 END) / any_value(n) AS d FROM draws GROUP BY r),
+s AS (SELECT *, row_number() OVER (ORDER BY d, r) - 1 AS spot FROM sums)
+SELECT round(100 * max(observed), 6) AS observed, round((count(*) FILTER (WHERE abs(d) >= abs(observed)) + 1) / {RESAMPLES + 1}, 6) AS p_value, round(100 * max(d) FILTER (WHERE spot = {int(0.025 * RESAMPLES)}), 6) AS low, round(100 * max(d) FILTER (WHERE spot = {min(RESAMPLES - 1, int(0.975 * RESAMPLES))}), 6) AS high FROM s""")
 def paired_bootstrap(t):
     r, _, pool = _pool(t)
     e, scored = views.edges(t), enrichment.endpoint_scores(pool, r)

@@ -8,22 +8,26 @@ comes first for even keys and last for odd ones. Gold are the customer's nation
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import NULL_ID
 
 
-@dataclass(frozen=True)
 class Tables:
-    spark: SparkSession
-    folder: str
+    """The tables of a folder by name; derived ones that several steps of a plan read are cached."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._kept = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def kept(self, name: str, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = make().cache()
+        return self._kept[name]
+
 
 def _id(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
@@ -31,6 +35,10 @@ def _id(prefix: str, column: str):
 
 def edges(t: Tables) -> DataFrame:
     """(parent, child) of the taxonomy."""
+    return t.kept("edges", lambda: _edges(t))
+
+
+def _edges(t: Tables) -> DataFrame:
     e = lambda df, p, c: df.select(p.alias("parent"), c.alias("child"))
     root = F.lit("ROOT")
     part = t.part.select("p_partkey", "p_brand", "p_type")
@@ -56,7 +64,7 @@ def titles(t: Tables) -> DataFrame:
 
 def concepts(t: Tables) -> DataFrame:
     e = edges(t)
-    return e.select(F.col("parent").alias("id")).unionByName(e.select(F.col("child").alias("id"))).distinct()
+    return t.kept("concepts", lambda: e.select(F.col("parent").alias("id")).unionByName(e.select(F.col("child").alias("id"))).distinct())
 
 
 def mentions(t: Tables) -> DataFrame:
@@ -65,6 +73,10 @@ def mentions(t: Tables) -> DataFrame:
 
 def retrieved(t: Tables) -> DataFrame:
     """(mention_id, concept_id, score, rank), scores rounded before they are ranked by."""
+    return t.kept("retrieved", lambda: _retrieved(t))
+
+
+def _retrieved(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey")
     spent = t.orders.select("o_orderkey", "o_custkey").join(t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice"), F.col("o_orderkey") == F.col("l_orderkey"))
     per = spent.groupBy("o_custkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("s"))

@@ -189,9 +189,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return dealt.select("_range", "_last", "doc_id", "text")
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses."""
-    return with_next(docs, id_col, text_col).mapInArrow(_compare(k, window), _PAIRS)
+    return with_next(docs, id_col, text_col, ranges).mapInArrow(_compare(k, window), _PAIRS)
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces kept by a worker, about 150 bytes each.
-CACHE_PIECES = 600_000
+#: Pieces kept by a worker per generation of its cache, about 200 bytes each.
+CACHE_PIECES = 500_000
+#: Pieces encoded in one call.
+JOINED = 512
+#: Most frequent pieces that get a table of their own, once so many pieces have been seen.
+HOT_PIECES = 8_000
+WARM_PIECES = 200_000
 
-#: Contexts in which the plain cuts are not proven safe: white space other than single blanks and
-#: line ends, stops that follow anything but a letter or digit, the mark itself.
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z|\A[ \n.,]|[\W_][.,]|\x00")
 _RUNS = re.compile(r"\s*\S+|\s+")
 #: White space in Python but not in the tokenizer's pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -32,7 +35,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class SubwordEncoder:
-    """Encodes texts to ids; ``pieces`` caches the ids of pieces as little-endian bytes."""
+    """Encodes texts to ids. Two generations of pieces are cached: when the younger is full it
+    becomes the older one, so that frequent pieces stay and memory is bounded."""
 
     def __init__(self, path: str | None = None, limit: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,43 +48,109 @@ class SubwordEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.vocabulary = size
         self.limit = limit
-        self.pieces: dict[str, bytes] = {}
-
-    def encode_pieces(self, pieces: list[str]) -> None:
-        """Adds pieces to the cache."""
-        if len(self.pieces) + len(pieces) > self.limit:
-            self.pieces.clear()
-        for p, e in zip(pieces, self.model.encode_batch(pieces, add_special_tokens=False)):
-            self.pieces[p] = np.asarray(e.ids, self.dtype).tobytes()
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if not _ODD.search(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
-        if _SEPARATORS.search(text):
-            return [text]
-        return _RUNS.findall(text)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
+        self.tally: Counter | None = Counter()
+        # Ids whose token begins with a blank: where a piece begins, if it begins with a blank.
+        self.blank_first = np.zeros(size, bool)
+        self.blank_first[[i for t, i in self.model.get_vocab().items() if t.startswith("Ġ")]] = True
+
+    def raw(self, text: str) -> bytes:
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces into the cache. A piece stands for itself behind a blank, or, if it
+        begins with a line end or a mark (\\0, not part of it), for itself."""
+        if len(self.young) + len(pieces) > self.limit:
+            self.old, self.young = self.young, {}
+        young, blank = self.young, []
+        for p in pieces:
+            if p in self.old:
+                young[p] = self.old[p]
+            elif p[0] in "\0\n":
+                young[p] = self.raw(p.removeprefix("\0"))
+            else:
+                blank.append(p)
+        runs = [blank[a : a + JOINED] for a in range(0, len(blank), JOINED)]
+        encoded = self.model.encode_batch([" " + " ".join(r) for r in runs], add_special_tokens=False) if runs else []
+        width = self.dtype.itemsize
+        for run, e in zip(runs, encoded):
+            ids = np.asarray(e.ids, self.dtype)
+            data, starts = ids.tobytes(), (np.flatnonzero(self.blank_first[ids]) * width).tolist()
+            if len(starts) == len(run):
+                starts.append(len(data))
+                young.update(zip(run, [data[a:b] for a, b in zip(starts, starts[1:])]))
+            else:  # a token of the piece itself begins with a blank
+                young.update((p, self.raw(" " + p)) for p in run)
+
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces of a text; None where white space is other than single blanks and line ends."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in " \n" or text[0] in " \n":
+            return None
+        if not text.replace("\n", "").isprintable():
+            return None
+        return ("\0" + text).replace("\n", " \n").split(" ")
+
+    def _plain(self, text: str) -> bytes:
+        """Any text: cut at the safe places, one call for the pieces."""
+        if not text or _SEPARATORS.search(text) or "\0" in text:
+            return self.raw(text)
+        return b"".join([np.asarray(e.ids, self.dtype).tobytes() for e in self.model.encode_batch(_RUNS.findall(text), add_special_tokens=False)])
+
+    def _look_up(self, pieces: list[str]) -> tuple[list, list[int]]:
+        """Ids of the pieces, and the places of those that aren't known."""
+        found = list(map(self.hot.get, pieces))
+        if None not in found:
+            return found, []
+        get, missing = self.young.get, []
+        for i in [i for i, v in enumerate(found) if v is None]:
+            v = get(pieces[i])
+            if v is None:
+                missing.append(i)
+            else:
+                found[i] = v
+        return found, missing
+
+    def _warm(self, lists: list[list[str]]) -> None:
+        """After the first texts, the most frequent pieces get a table of their own, small enough to
+        stay in the processor's cache."""
+        for pieces in lists:
+            self.tally.update(pieces)
+        if sum(self.tally.values()) >= WARM_PIECES:
+            for p, n in self.tally.most_common(HOT_PIECES):
+                v = self.young.get(p)
+                if n > 1 and v is not None:
+                    self.hot[p[:1] + p[1:]] = bytes(bytearray(v))  # copies lie side by side
+            self.tally = None
+
+    def _join(self, lists: list[list[str]]) -> list[bytes]:
+        held = [self._look_up(pieces) for pieces in lists]
+        wanted = {pieces[i] for (_, missing), pieces in zip(held, lists) for i in missing}
+        if wanted:
+            self._learn(list(wanted))
+        young, old, out = self.young, self.old, []
+        for (found, missing), pieces in zip(held, lists):
+            for i in missing:
+                p = pieces[i]
+                found[i] = young[p] if p in young else old[p]
+            out.append(b"".join(found))
+        if self.tally is not None:
+            self._warm(lists)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
         out: list[bytes] = []
-        for start in range(0, len(texts), 256):
-            cuts = [self.cut(t) for t in texts[start : start + 256]]
-            known = self.pieces
-            missing = {p for c in cuts for p in c if p not in known}
-            if missing:
-                self.encode_pieces(list(missing))
-            known = self.pieces
-            for c in cuts:
-                try:
-                    out.append(b"".join([known[p] for p in c]))
-                except KeyError:  # the cache was emptied in between
-                    self.encode_pieces([p for p in dict.fromkeys(c) if p not in known])
-                    out.append(b"".join([self.pieces[p] if p in self.pieces else self._single(p) for p in c]))
+        for start in range(0, len(texts), 128):
+            cuts = [self.cut(t) if t else None for t in texts[start : start + 128]]
+            joined = iter(self._join([c for c in cuts if c is not None]))
+            out += [self._plain(t) if c is None else next(joined) for c, t in zip(cuts, texts[start : start + 128])]
         return out
 
-    def _single(self, piece: str) -> bytes:
-        return np.asarray(self.model.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+    def encode_words(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words, every word taken behind a blank."""
+        return self._join(texts)
 
 
 _ENCODERS: dict[str, SubwordEncoder] = {}

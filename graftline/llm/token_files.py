@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ END_ID = 0
 #: Longest code in bits; longer only if the ids that occur need it.
 MAX_BITS = 16
 #: Ids between two checkpoints, and ids after which a block ends with its document.
-STRIDE = 128
+STRIDE = 64
 BLOCK_TOKENS = 1 << 16
 
 _CHUNKS = "part int, chunk int, start_in_part long, doc_ids array<bigint>, n_tokens array<bigint>, ids binary"
@@ -138,7 +139,7 @@ class Decoder:
 
 
 def _tokenise(path: str | None, end_id: int, block: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         end = np.asarray([end_id], e.dtype).tobytes()
         width, part = e.dtype.itemsize, TaskContext.get().partitionId()
@@ -146,15 +147,17 @@ def _tokenise(path: str | None, end_id: int, block: int):
         names: list = []
         sizes: list[int] = []
         chunk = done = held = 0
+        longs = pa.list_(pa.int64())
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "chunk": [chunk], "start_in_part": [done], "doc_ids": [names], "n_tokens": [sizes], "ids": [b"".join(ids)]})
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([done], pa.int64()), pa.array([names], longs), pa.array([sizes], longs), pa.array([b"".join(ids)], pa.binary())],
+                ["part", "chunk", "start_in_part", "doc_ids", "n_tokens", "ids"])
 
-        for f in frames:
-            doc_ids = f["doc_id"].astype("Int64").astype(object).where(f["doc_id"].notna(), None).tolist()
-            texts = f["text"].tolist()
-            for a in range(0, len(texts), 256):
-                for d, b in zip(doc_ids[a : a + 256], e.encode(texts[a : a + 256])):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                few = batch.slice(a, 256)
+                for d, b in zip(few.column("doc_id").to_pylist(), e.encode(few.column("text").to_pylist())):
                     b += end
                     ids.append(b)
                     names.append(d)
@@ -188,7 +191,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     held = scratch_path(spark, "ids")
-    chunks = written(ordered.mapInPandas(_tokenise(tokenizer, end_id, block), _CHUNKS), "ids", held)
+    chunks = written(ordered.mapInArrow(_tokenise(tokenizer, end_id, block), _CHUNKS), "ids", held)
     e = encoder(tokenizer)
     width, vocabulary = e.dtype.itemsize, e.vocabulary
     # At most one row per id of the vocabulary, and one per partition.

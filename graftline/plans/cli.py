@@ -20,7 +20,7 @@ def build_parser() -> argparse.ArgumentParser:
     for name in ("stats", "retrieve", "experiment", "ablate"):
         c = sub.add_parser(name)
         c.add_argument("--root", default="data")
-        c.add_argument("--dataset", default="MM-S14-Disease")
+        c.add_argument("--dataset", required=True)
         c.add_argument("--split-mode", choices=("native", "resplit"), default="native")
         c.add_argument("--edge-catalogue", choices=("all", "atomic"), default="all")
         c.add_argument("--output")

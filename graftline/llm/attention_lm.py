@@ -8,8 +8,11 @@ Model. One layer of causal self-attention with residuals and a small feed-forwar
 position embeddings. The frequent ids are arranged in classes of equal size, and the probability of
 an id is that of its class times that of the id in its class, so that a prediction costs two small
 softmaxes instead of one over the vocabulary. All other ids share one symbol, within which they have
-smoothed relative frequencies. It is trained on the driver on a bounded sample (about ``SAMPLE``
-training documents, drawn by a hash of the id) with Adam.
+smoothed relative frequencies. Which ids are frequent, the company they keep (by which they get their
+classes) and the relative frequencies are counted over all training documents. Adam trains the model
+on the driver on about ``SAMPLE`` training documents, drawn by a hash of the id, as a common start;
+then every training document is passed over once in ``ROUNDS`` rounds: workers each train the
+model on their rows of the round, and the mean of their parameters, weighted by ids, begins the next.
 
 Scoring. A text is cut into windows of ``LENGTH`` inputs that overlap by ``LEAD``; the first ``LEAD``
 are context alone, so that each id is scored once. All windows of a batch go through masked attention
@@ -26,6 +29,9 @@ and c, N and V are 0. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import copy
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +50,22 @@ WIDTH = 24
 HIDDEN = 48
 LENGTH = 32
 LEAD = 8
-#: Training documents that the model is fitted on, about, and ids that training scores in all: a
-#: small sample is passed over more often, up to MAX_PASSES times.
+#: Training documents of the common start, about, and ids that it scores in all: a small sample is
+#: passed over more often, up to MAX_PASSES times.
 SAMPLE = 1000
 TRAIN_IDS = 4_000_000
 MAX_PASSES = 6
 BATCH = 48
 RATE = 0.005
+#: Rounds over which all training documents are spread, and their rate.
+ROUNDS = 3
+ROUND_RATE = 0.003
+#: Ids that a worker trains on in a round, about, and at once; windows of its largest batch.
+WORKER_IDS = 500_000
+CHUNK_IDS = 250_000
+ROUND_BATCH = 256
+#: Tables of neighbours that are made at once, at least; each has 16 MB.
+TABLES = 32
 #: Words with at least this share of all tokens are broadcast, so at most its inverse of them.
 HEAD_SHARE = 1e-6
 #: Windows scored at once.
@@ -63,6 +78,24 @@ def _exp_sum(x: np.ndarray) -> np.ndarray:
     return (np.log(np.exp(x - m).sum(-1, keepdims=True)) + m)[..., 0]
 
 
+class Adam:
+    """Changes the parameters ``p`` in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.steps = p, 0
+        self.first = {k: np.zeros_like(v) for k, v in p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        scale = np.float32(rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
+        for k, first in self.first.items():
+            second = self.second[k]
+            first += np.float32(0.1) * (g[k] - first)
+            second += np.float32(0.01) * (g[k] * g[k] - second)
+            self.p[k] -= scale * first / (np.sqrt(second) + np.float32(1e-8))
+
+
 class AttentionModel:
     """Parameters and arithmetic; symbols are class * MEMBERS + member, the last one is the rest."""
 
@@ -86,21 +119,40 @@ class AttentionModel:
         self.mask = np.where(np.arange(length)[None, :] > np.arange(lead, length)[:, None], np.float32(-1e9), np.float32(0))
 
     # -- symbols ---------------------------------------------------------------------------------
-    def arrange(self, ids: np.ndarray) -> None:
-        """Gives the frequent ids of the training sequence their classes, by the company they keep."""
-        counts = np.bincount(ids, minlength=self.vocabulary + 1).astype(np.float64)
-        counts[self.end] = max(counts[self.end], counts.max() + 1)  # the end always has a symbol
-        n = self.classes * self.members - 1
-        top = np.argsort(-counts, kind="stable")[:n]
+    @property
+    def near(self) -> int:
+        return min(256, self.rest)
+
+    def places(self, counts: np.ndarray) -> np.ndarray:
+        """Rank of each id that gets a symbol, -1 for the others; the end always gets one."""
+        counts = counts.astype(np.float64)
+        counts[self.end] = max(counts[self.end], counts.max() + 1)
         place = np.full(self.vocabulary + 1, -1)
-        place[top] = np.arange(n)
-        near = min(256, n)
+        place[np.argsort(-counts, kind="stable")[: self.rest]] = np.arange(self.rest)
+        return place
+
+    def neighbours(self, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How often each placed id stands behind and before each of the ``near`` most frequent."""
+        n, near = self.rest, self.near
         seen = place[ids]
-        table = np.zeros((n, 2 * near), np.float32)
+        table = np.zeros(n * 2 * near, np.int64)
         for a, b, shift in ((seen[1:], seen[:-1], 0), (seen[:-1], seen[1:], near)):
             ok = (a >= 0) & (b >= 0) & (b < near)
-            np.add.at(table, (a[ok], b[ok] + shift), 1)
-        table = np.sqrt(table)
+            table += np.bincount(a[ok] * (2 * near) + b[ok] + shift, minlength=len(table))
+        return table.reshape(n, 2 * near)
+
+    def arrange(self, ids: np.ndarray) -> None:
+        """Gives the frequent ids of the training sequence their classes, by the company they keep."""
+        counts = np.bincount(ids, minlength=self.vocabulary + 1)
+        place = self.places(counts)
+        self.lay_out(counts, place, self.neighbours(place, ids))
+
+    def lay_out(self, counts: np.ndarray, place: np.ndarray, table: np.ndarray) -> None:
+        """``arrange`` from the counts of ids and the table of neighbours."""
+        n = self.rest
+        top = np.empty(n, np.int64)
+        top[place[place >= 0]] = np.flatnonzero(place >= 0)
+        table = np.sqrt(table).astype(np.float32)
         table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
         table -= table.mean(0)
         _, vectors = np.linalg.eigh(table.T @ table)
@@ -116,9 +168,8 @@ class AttentionModel:
             groups = halves
         flat = np.concatenate([np.sort(g) for g in groups])  # the last group may lack one: the rest
         self.symbol[:] = self.rest
-        spots = np.arange(n)
-        self.symbol[top[flat]] = spots
-        rest = counts.copy()
+        self.symbol[top[flat]] = np.arange(n)
+        rest = counts.astype(np.float64)
         rest[top] = 0
         self.rest_log = np.log10((rest + 0.1) / (rest.sum() + 0.1 * (self.vocabulary + 1 - n)))
 
@@ -314,9 +365,7 @@ class AttentionModel:
             return []
         passes = passes or max(1, min(MAX_PASSES, -(-TRAIN_IDS // sum(map(len, sequences)))))
         x, t, _ = self.windows(sequences)
-        rng = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        rng, adam = np.random.default_rng(seed), Adam(self.p)
         losses, step, steps = [], 0, passes * -(-len(x) // batch)
         for _ in range(passes):
             order, sums = rng.permutation(len(x)), []
@@ -325,12 +374,7 @@ class AttentionModel:
                 g, loss = self.gradients(x[rows], t[rows])
                 sums.append(loss)
                 step += 1
-                lr = rate * min(1.0, step / 50) * (1 - 0.9 * step / (steps + 1))
-                for k in self.p:
-                    first[k] += np.float32(0.1) * (g[k] - first[k])
-                    second[k] += np.float32(0.01) * (g[k] * g[k] - second[k])
-                    scale = lr * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                    self.p[k] -= np.float32(scale) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
+                adam.step(g, rate * min(1.0, step / 50) * (1 - 0.9 * step / (steps + 1)))
             losses.append(float(np.mean(sums)))
         return losses
 
@@ -339,25 +383,146 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
 
 
-def sequences_of(texts: list[str | None], path: str | None = None) -> tuple[list[np.ndarray], list[list[str]]]:
-    """Subword ids of each text with the end id (= vocabulary size) last, and its words."""
-    e = encoder(path)
-    words = [words_of(t) for t in texts]
-    end = np.asarray([e.vocabulary], np.int64)
-    return [np.concatenate([np.frombuffer(b, e.dtype).astype(np.int64), end]) for b in e.encode_words(words)], words
+def _encode(path: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                few = batch.slice(a, 256)
+                ids = e.encode_words([words_of(t) for t in few.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(ids, pa.binary())], [*few.schema.names, "ids"])
+
+    return run
+
+
+def encoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows with ``ids``, the subword ids of ``text`` as bytes, without the end."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return written(rows.mapInArrow(_encode(path), f"{schema}, ids binary"), "ids")
+
+
+def _sequences(column: pa.Array, dtype: np.dtype, end: int) -> list[np.ndarray]:
+    """Subword ids of each text with the end id (= vocabulary size) last."""
+    last = np.asarray([end], np.int64)
+    return [np.concatenate([np.frombuffer(b, dtype).astype(np.int64), last]) for b in column.to_pylist()]
+
+
+_PART = "n bigint, data binary"
+
+
+def _part(n: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())], ["n", "data"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, whole = 0, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part = np.frombuffer(zlib.decompress(batch.column("data")[i].as_py()))
+            n, whole = n + batch.column("n")[i].as_py(), part.copy() if whole is None else whole + part
+    if whole is not None:
+        yield _part(n, whole)
+
+
+def _summed(parts: DataFrame, tasks: int) -> tuple[int, np.ndarray]:
+    """Sums of n and of the float64 arrays in data, one row per task: in about the root of their
+    number of sums first, so that neither a task nor the driver holds many."""
+    rows = parts.repartition(max(1, math.isqrt(tasks))).mapInArrow(_add, _PART).collect()
+    return sum(r.n for r in rows), sum((np.frombuffer(zlib.decompress(r.data)) for r in rows), np.zeros(1))
+
+
+def _count_ids(dtype: np.dtype, vocabulary: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(vocabulary + 1, np.int64)
+        for batch in batches:
+            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype), minlength=vocabulary + 1)
+            counts[vocabulary] += batch.num_rows
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["i", "c"])
+
+    return run
+
+
+def _count_neighbours(shared, dtype: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, place = shared.value
+        table, waiting, n = np.zeros((model.rest, 2 * model.near), np.int64), [np.asarray([model.end])], 0
+
+        def flush() -> None:
+            nonlocal waiting, n
+            np.add(table, model.neighbours(place, np.concatenate(waiting)), out=table)
+            waiting, n = [np.asarray([model.end])], 0
+
+        for batch in batches:
+            for s in _sequences(batch.column("ids"), dtype, model.end):
+                waiting.append(s)
+                n += len(s)
+                if n > 4 * CHUNK_IDS:
+                    flush()
+        flush()
+        yield _part(0, table.astype(np.float64))
+
+    return run
+
+
+def _train_rows(shared, dtype: np.dtype, rate: float):
+    """Parameters, times the ids that they were trained on here."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = copy.copy(shared.value)
+        model.p = {k: v.copy() for k, v in model.p.items()}
+        adam, rng = Adam(model.p), np.random.default_rng(11)
+        waiting, n, trained = [], 0, 0
+
+        def flush() -> None:
+            nonlocal waiting, n, trained
+            x, t, _ = model.windows(waiting)
+            order, batch = rng.permutation(len(x)), max(BATCH, min(ROUND_BATCH, len(x) // 64))
+            for a in range(0, len(x), batch):
+                rows = order[a : a + batch]
+                adam.step(model.gradients(x[rows], t[rows])[0], rate * min(1.0, (adam.steps + 1) / 50))
+            waiting, n, trained = [], 0, trained + n
+
+        for batch in batches:
+            for s in _sequences(batch.column("ids"), dtype, model.end):
+                waiting.append(model.symbol[s])
+                n += len(s)
+                if n > CHUNK_IDS:
+                    flush()
+        if waiting:
+            flush()
+        if trained:
+            yield _part(trained, trained * np.concatenate([v.ravel() for v in model.p.values()]).astype(np.float64))
+
+    return run
 
 
 def fit(rows: DataFrame, path: str | None = None, sample: int = SAMPLE, passes: int | None = None) -> AttentionModel:
-    """Fits the model on about ``sample`` of the rows (id, text)."""
-    total = rows.count()
-    share = min(1.0, sample / max(1, total))
+    """Fits the model on the rows (id, ids); about ``sample`` of them give the common start."""
+    context, e = rows.sparkSession.sparkContext, encoder(path)
+    model = AttentionModel(e.vocabulary)
+    found = rows.select("ids").mapInArrow(_count_ids(e.dtype, e.vocabulary), "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c")).toPandas()  # one row per id
+    counts = np.zeros(e.vocabulary + 1, np.int64)
+    counts[found["i"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+    total = int(counts[model.end])
+    if not total:
+        return model
+    place = model.places(counts)
+    n_parts, cores = rows.rdd.getNumPartitions(), context.defaultParallelism
+    tasks = min(n_parts, max(TABLES, cores))
+    shared = context.broadcast((model, place))
+    table = _summed(rows.select("ids").coalesce(tasks).mapInArrow(_count_neighbours(shared, e.dtype), _PART), tasks)[1]
+    model.lay_out(counts, place, table.reshape(model.rest, -1))
     lot = F.pmod(F.xxhash64(F.lit("attention"), "id"), F.lit(1 << 20)).cast("double") / (1 << 20)
-    texts = [r.text for r in rows.where(lot < share).select("text").collect()]  # bounded by the sample
-    model = AttentionModel(encoder(path).vocabulary)
-    ids, _ = sequences_of(texts, path)
-    if ids:
-        model.arrange(np.concatenate(ids))
-        model.train([model.symbol[s] for s in ids], passes)
+    start = rows.where(lot < min(1.0, sample / total)).select("ids").toArrow().column("ids").combine_chunks()  # bounded by the sample
+    model.train([model.symbol[s] for s in _sequences(start, e.dtype, model.end)], passes)
+    tasks = int(min(n_parts, max(1, counts.sum() // (ROUNDS * WORKER_IDS))))
+    for r in range(ROUNDS):
+        mine = rows.where(F.pmod(F.xxhash64(F.lit("round"), "id", "ids"), F.lit(ROUNDS)) == r).select("ids")
+        shared = context.broadcast(model)
+        n, values = _summed(mine.coalesce(tasks).mapInArrow(_train_rows(shared, e.dtype, ROUND_RATE * (1 - 0.9 * r / (ROUNDS - 1))), _PART), tasks)
+        if n:
+            cuts = np.cumsum([v.size for v in model.p.values()])[:-1]
+            model.p = {k: v.reshape(model.p[k].shape).astype(np.float32) for k, v in zip(model.p, np.split(values / n, cuts))}
     return model
 
 
@@ -387,7 +552,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCORED = "uid bigint, doc_id bigint, n_tokens bigint, head_known bigint, head_log double, score double, tail array<struct<h:bigint,n:bigint>>"
 
 
-def _score(shared, path: str | None):
+def _score(shared, dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -400,8 +565,8 @@ def _score(shared, path: str | None):
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 few = batch.slice(a, 64)
-                ids, words = sequences_of(few.column("text").to_pylist(), path)
-                scores = model.score(ids)
+                words = [words_of(t) for t in few.column("text").to_pylist()]
+                scores = model.score(_sequences(few.column("ids"), dtype, model.end))
                 new = list({w for ws in words for w in ws if w not in known})
                 if len(known) + len(new) > 500_000:
                     known = {}
@@ -438,7 +603,8 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     ``train`` is a condition on the columns of ``docs`` that selects the training documents.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    seen = rows.where("train").select("id", "text")
+    rows = encoded(rows, tokenizer)
+    seen = rows.where("train")
     counts = written(seen.select("text").mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count(F.lit(1)).alias("V")).first()
     total = whole.N + 0.5 * (whole.V + 1)
@@ -450,7 +616,7 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     logs = np.log10(head["c"].to_numpy(np.float64) + 0.5)[order]
     model = fit(seen, tokenizer, sample, passes)
     shared = docs.sparkSession.sparkContext.broadcast((model, hashes[order], logs))
-    scored = written(rows.select("id", "text").mapInArrow(_score(shared, tokenizer), _SCORED), "scored")
+    scored = written(rows.select("id", "text", "ids").mapInArrow(_score(shared, encoder(tokenizer).dtype), _SCORED), "scored")
     tail = scored.select("uid", F.explode("tail").alias("w")).select("uid", "w.h", "w.n")
     rare = counts.where((F.col("c") < least) & ~end_is_head)
     found = tail.join(rare, "h").groupBy("uid").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("tail_log"))

@@ -131,6 +131,19 @@ def test_attention_scores(spark, docs, rows):
     assert all(r.score < 0 for r in found)
 
 
+def test_attention_gathers_from_all_documents(spark):
+    # Each text has words of its own, and the common start sees about one text.
+    words = [w[1:] for w, i in subwords.encoder().model.get_vocab().items() if i > 20_000 and w[1:].isascii() and w[1:].isalpha() and w[1:].islower() and w[0] == "Ġ"][:1500]
+    t = spark.createDataFrame([(i, " ".join(words[5 * i : 5 * i + 5] * 4)) for i in range(300)], "doc_id bigint, text string")
+    found = attention_lm.score_documents(t, F.lit(True), sample=1).collect()
+    assert len(found) == 300 and min(r.score / r.n_tokens for r in found) > -5.5
+    rows = attention_lm.encoded(t.select(F.col("doc_id").alias("id"), "text"))
+    start, ids = attention_lm.fit(rows.limit(0)), rows.collect()
+    model = attention_lm.fit(rows, sample=0)
+    assert all((model.symbol[np.frombuffer(r.ids, "<u2")] != model.rest).all() for r in ids)
+    assert any((model.p[k] != start.p[k]).any() for k in start.p)  # without a start, the rounds alone train
+
+
 def test_winnowing(spark, docs, rows):
     def plain(t, k=winnowing.K, w=winnowing.WINDOW):
         points = np.array([ord(c) for c in t], np.uint64)

@@ -9,8 +9,8 @@ removed. The first is a partial minimum per digest; only digests that occur twic
 their units, and only spans are grouped by document. Offsets count code points of the original text,
 and every removed span is kept.
 
-Units of under ``MIN_BYTES`` normalised bytes, blank lines among them, are never removed, as short
-ones repeat by chance.
+Blank units are never removed, all others are, however short: a passage that repeats would otherwise
+keep its short lines. ``min_bytes`` spares units of fewer normalised bytes.
 
 Edge cases: a null text stays null and has no unit; an empty text has none either; rows with equal
 doc_id and text are the same document and keep or lose the same units; rows that share a doc_id but
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import table
 
-MIN_BYTES = 32
+MIN_BYTES = 1
 UNIT = "soft"
 _CUTS = {"line": re.compile(r"(?<=\n)"), "soft": re.compile(r"(?<=\n)|(?<=[.!?] )"), "paragraph": re.compile(r"(?<=\n\n)(?!\n)")}
 

@@ -202,6 +202,12 @@ def test_mixing(spark, docs, clashing, rows):
     assert mixing.sample(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_removes_short_units(spark):
+    t = spark.createDataFrame([(1, "a b.\n\nOnce here.\n"), (2, "A  b.\n\nx\n"), (3, "x\n \nOnce there.\na b.")], "doc_id bigint, text string")
+    assert {r.row.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(t).collect()} == {
+        1: ("a b.\n\nOnce here.\n", 0), 2: ("\nx\n", 1), 3: (" \nOnce there.\n", 2)}
+
+
 def test_line_dedup(spark, clashing):
     line = "This is a line of boilerplate that repeats everywhere."
     t = spark.createDataFrame([(1, f"{line}\nfirst one.\n{line.upper()}\n"), (2, f"start. {line} end"), (2, f"start. {line} end"), (None, f"  {line}"), (4, None), (5, ""), (6, "ab\nab\n")], "doc_id int, text string")

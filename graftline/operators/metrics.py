@@ -79,7 +79,7 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, column: str, n_resamples: int =
     w = Window.orderBy("d", "r")  # one row per resample
     ranked = sums.withColumn("at", F.row_number().over(w) - 1)
     low, high = int(0.025 * n_resamples), min(n_resamples - 1, int(0.975 * n_resamples))
-    out = ranked.agg(F.max("observed").alias("observed"), (F.count_if(F.abs("d") >= F.abs("observed"))).alias("extreme"), F.max(F.when(F.col("at") == low, F.col("d"))).alias("low"), F.max(F.when(F.col("at") == high, F.col("d"))).alias("high"))
+    out = ranked.agg(F.max("observed").alias("observed"), (F.count_if(F.abs(F.col("d") - F.col("observed")) >= F.abs("observed"))).alias("extreme"), F.max(F.when(F.col("at") == low, F.col("d"))).alias("low"), F.max(F.when(F.col("at") == high, F.col("d"))).alias("high"))
     return out.select((100 * F.col("observed")).alias("observed"), ((F.col("extreme") + 1) / (n_resamples + 1)).alias("p_value"), (100 * F.col("low")).alias("low"), (100 * F.col("high")).alias("high"))
 
 

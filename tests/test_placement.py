@@ -1,6 +1,7 @@
 """The toy hierarchy root -> {A, B}, A -> {C, D}, B -> {E}: construction, enrichment, ranking, metrics, checks."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,17 @@ def test_whole_run(spark, toy):
     assert table.count("\n") == 3
     with pytest.raises(ValueError):
         PlacementConfig(retriever="nothing")
+
+
+def test_bootstrap_of_a_clear_difference(spark):
+    flags = lambda x: spark.createDataFrame([(str(i), bool(x(i))) for i in range(200)], "mention_id string, f boolean")
+    at = lambda x, y, r: metrics.paired_bootstrap(flags(x), flags(y), "f", r).first()
+    clear = at(lambda i: i < 150, lambda i: i < 50, 100)
+    assert clear.observed == pytest.approx(50) and clear.p_value == pytest.approx(1 / 101) and 35 < clear.low < 50 < clear.high < 65
+    # Ten of 200 differ, seven one way: two-sided p of d - observed, by a plain version.
+    rng = random.Random(1)
+    d = [1] * 7 + [-1] * 3 + [0] * 190
+    plain = [sum(rng.choices(d, k=200)) / 200 for _ in range(4000)]
+    faint = at(lambda i: i < 7, lambda i: 10 <= i < 13, 2000)
+    assert faint.p_value == pytest.approx(sum(abs(x - 0.02) >= 0.02 - 1e-12 for x in plain) / 4000, abs=0.05)
+    assert at(lambda i: i < 9, lambda i: i < 9, 50).p_value == 1

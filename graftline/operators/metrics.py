@@ -5,6 +5,10 @@ mentions: mention_id; gold: mention_id, parent_id, child_id; rankings: the same
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,23 +63,31 @@ def as_percent_row(scores: DataFrame, k: int) -> DataFrame:
     return scores.agg(*[F.coalesce(F.max(F.when(at, 100 * F.col(c))), F.lit(0.0)).alias(c) for c in shares], F.coalesce(F.max("mrr"), F.lit(0.0)).alias("mrr"), F.coalesce(F.max("map"), F.lit(0.0)).alias("map"))
 
 
+def _resample(seed: int):
+    """Sum of the differences in each resample."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for x in batch.select(["r", "n", "below", "above"]).to_pylist():
+                n = max(1, x["n"])
+                low, high, _ = np.random.default_rng((seed, x["r"])).multinomial(x["n"], [x["below"] / n, x["above"] / n, max(0.0, 1 - (x["below"] + x["above"]) / n)])
+                sums.append(int(high - low))
+            yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("n"), batch.column("observed"), pa.array(sums, pa.int64())], ["r", "n", "observed", "s"])
+
+    return run
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, column: str, n_resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Paired bootstrap of the mean difference of a per-mention flag: observed, p_value, low, high.
 
-    A resample draws each of the n mentions by a hash of (seed, resample, draw). Draws are made per
-    resample in the partitions that hold the resamples; what is joined is one difference per place.
+    A resample draws n mentions with replacement. All it depends on is how many of them have each
+    difference, so each is one multinomial draw, seeded by (seed, resample), whatever n.
     """
     diff = a.select("mention_id", F.col(column).cast("int").alias("x")).join(b.select("mention_id", F.col(column).cast("int").alias("y")), "mention_id", "full")
     diff = diff.select("mention_id", (F.coalesce("x", F.lit(0)) - F.coalesce("y", F.lit(0))).alias("d"))
-    # How often each difference occurs is all a resample of a flag depends on, besides who is drawn:
-    # places are numbered by value, so that a draw falls into a value by comparing with two bounds.
     tally = diff.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") < 0).alias("below"), F.count_if(F.col("d") > 0).alias("above"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("observed"))
-    spark = a.sparkSession
-    resamples = spark.range(n_resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(tally))
-    draws = resamples.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0)))))
-    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("r").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.greatest("n", F.lit(1)))
-    step = F.when(F.col("n") == 0, 0).when(draw < F.col("below"), -1).when(draw >= F.col("n") - F.col("above"), 1).otherwise(0)
-    sums = draws.groupBy("r", "n", "observed").agg(F.sum(step).alias("s")).select("r", "observed", F.coalesce(F.try_divide(F.col("s"), F.col("n")), F.lit(0.0)).alias("d"))
+    resamples = a.sparkSession.range(n_resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(tally))
+    sums = resamples.mapInArrow(_resample(seed), "r bigint, n bigint, observed double, s bigint").select("r", "observed", F.coalesce(F.try_divide(F.col("s"), F.col("n")), F.lit(0.0)).alias("d"))
     w = Window.orderBy("d", "r")  # one row per resample
     ranked = sums.withColumn("at", F.row_number().over(w) - 1)
     low, high = int(0.025 * n_resamples), min(n_resamples - 1, int(0.975 * n_resamples))

@@ -490,7 +490,7 @@ def result_table(t):
 
 
 SQL_NOLEAF = f"{SQL_POOL}, {SQL_GOLD}, {sql_scored()}, {sql_ranked(1)}, plain AS (SELECT * FROM (SELECT mention_id, parent_id, child_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, parent_id, child_id) AS rank FROM scored) WHERE rank <= 1)"
-RESAMPLES = 200
+RESAMPLES = 200  # of the SQL alone: it expands resamples x mentions
 
 
 @query(f"""WITH {SQL_NOLEAF}, d AS (SELECT c_custkey, CAST(EXISTS (SELECT 1 FROM ranked r JOIN gold g ON g.mention_id = r.mention_id AND g.parent_id = r.parent_id AND g.child_id = r.child_id WHERE r.mention_id = 'M' || c_custkey) AS INT)
@@ -505,7 +505,7 @@ def paired_bootstrap(t):
     e, scored = views.edges(t), enrichment.endpoint_scores(pool, r)
     leafy = enrichment.top_is_leaf(r, views.concepts(t), e)
     flag = lambda ranked: metrics.per_mention(views.mentions(t), views.gold(t), ranked, (1,))
-    b = metrics.paired_bootstrap(flag(enrichment.rank_edges(scored, 1, leafy)), flag(enrichment.rank_edges(scored, 1)), "any_1", RESAMPLES)
+    b = metrics.paired_bootstrap(flag(enrichment.rank_edges(scored, 1, leafy)), flag(enrichment.rank_edges(scored, 1)), "any_1")
     return b.select(_r("observed"), _r("p_value"), _r("low"), _r("high"))
 
 

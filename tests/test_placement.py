@@ -1,6 +1,7 @@
 """The toy hierarchy root -> {A, B}, A -> {C, D}, B -> {E}: construction, enrichment, ranking, metrics, checks."""
 
 import math
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions.text import tokens
 from graftline.operators import enrichment, hierarchy, metrics, retrieval, selection, splits, validation
+from graftline.plans import queries
 from graftline.plans.placement import PlacementConfig, ablation, format_ablation, run
 from graftline.schemas import NULL_ID
 from graftline.sources import sinks
@@ -158,3 +160,15 @@ def test_bootstrap_of_a_clear_difference(spark):
     faint = at(lambda i: i < 7, lambda i: 10 <= i < 13, 2000)
     assert faint.p_value == pytest.approx(sum(abs(x - 0.02) >= 0.02 - 1e-12 for x in plain) / 4000, abs=0.05)
     assert at(lambda i: i < 9, lambda i: i < 9, 50).p_value == 1
+
+
+def test_bootstrap_query_takes_all_resamples(spark, monkeypatch):
+    taken, plain = [], metrics.paired_bootstrap
+    monkeypatch.setattr(metrics, "paired_bootstrap", lambda a, b, c, n_resamples=10_000, seed=42: taken.append(n_resamples) or plain(a, b, c, n_resamples, seed))
+    queries.QUERIES["paired_bootstrap"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    assert taken == [10_000]
+    flags = lambda k: spark.createDataFrame([(str(i), i % k == 0) for i in range(30)], "mention_id string, f boolean")
+    b = plain(flags(2), flags(3), "f").first()
+    rng = random.Random(3)
+    d = sorted(sum(rng.choices([(i % 2 == 0) - (i % 3 == 0) for i in range(30)], k=30)) / 30 for _ in range(10_000))
+    assert b.low == pytest.approx(100 * d[250], abs=3.4) and b.high == pytest.approx(100 * d[9750], abs=3.4)

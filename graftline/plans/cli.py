@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import selection, splits
 from ..operators.hierarchy import depths
 from ..session import get_session
+from ..schemas import K_VALUES
 from ..sources import jsonl, sinks
 from .placement import RETRIEVERS, PlacementConfig, ablation, format_ablation, run
 
@@ -27,7 +28,7 @@ def build_parser() -> argparse.ArgumentParser:
         if name != "stats":
             c.add_argument("--retriever", choices=RETRIEVERS, default="inverted_index")
             c.add_argument("--split", default="test_nil")
-            c.add_argument("--k", type=int, default=10)
+            c.add_argument("--k", type=int, default=max(K_VALUES))
             c.add_argument("--n-retrieved", type=int, default=50)
             c.add_argument("--no-enrichment", action="store_true")
             c.add_argument("--no-leaf-priority", action="store_true")

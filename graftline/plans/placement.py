@@ -23,7 +23,7 @@ class PlacementConfig:
     retriever: str = "inverted_index"
     selector: str | None = None
     n_retrieved: int = TOP_CONCEPTS
-    k: int = 10
+    k: int = max(K_VALUES)
     use_enrichment: bool = True
     use_leaf_priority: bool = True
     edge_catalogue: str = "all"

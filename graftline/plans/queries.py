@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts, text
 from ..functions.expressions import verbalised
 from ..operators import enrichment, extraction, hierarchy, metrics, retrieval, selection, splits, validation
-from ..schemas import NULL_ID
+from ..schemas import K_VALUES, NULL_ID
 from ..sources import sinks
 from . import views
 from .views import SQL_CONCEPTS, SQL_EDGES, SQL_ENRICHED, SQL_GOLD, SQL_POOL, SQL_RETRIEVED, SQL_SEEDS, SQL_TITLES, Tables, sql_ranked, sql_scored
@@ -458,7 +458,7 @@ def extract_explanation(t):
 
 
 # -- metrics and validation ----------------------------------------------------------------------
-KS = (1, 5, 10)
+KS = (1, 5, 10)  # of the SQL alone; the queries take K_VALUES over the best 50
 SQL_HITS = f"""{SQL_POOL}, {SQL_GOLD}, {sql_scored()}, {sql_ranked(10)},
 hits AS (SELECT g.mention_id, g.child_id = 'SCTID_NULL' AS leaf, r.rank FROM gold g LEFT JOIN ranked r ON r.mention_id = g.mention_id AND r.parent_id = g.parent_id AND r.child_id = g.child_id),
 nth AS (SELECT *, CASE WHEN rank IS NOT NULL THEN row_number() OVER (PARTITION BY mention_id ORDER BY rank NULLS LAST) END AS i FROM hits),
@@ -466,12 +466,12 @@ per AS (SELECT mention_id, count(*) AS n_gold, coalesce(1.0 / min(rank), 0) AS r
 
 
 def _per(t: Tables) -> DataFrame:
-    return metrics.per_mention(views.mentions(t), views.gold(t), _candidates(t), KS)
+    return metrics.per_mention(views.mentions(t), views.gold(t), _candidates(t, max(K_VALUES)))
 
 
 @query(f"WITH {SQL_HITS} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(CASE WHEN in_{k} > 0 THEN 1.0 ELSE 0 END), 6) AS inr_any, round(avg(CASE WHEN in_{k} = n_gold THEN 1.0 ELSE 0 END), 6) AS inr_all FROM per" for k in KS))
 def inr_at_k(t):
-    return metrics.placement_scores(_per(t), KS).select("k", _r("inr_any"), _r("inr_all"))
+    return metrics.placement_scores(_per(t)).select("k", _r("inr_any"), _r("inr_all"))
 
 
 @query(f"WITH {SQL_HITS} SELECT mention_id, round(rr, 6) AS rr, round(ap, 6) AS ap FROM per")
@@ -481,12 +481,12 @@ def mrr_map(t):
 
 @query(f"WITH {SQL_HITS} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(CASE WHEN leaf_{k} > 0 THEN 1.0 ELSE 0 END), 6) AS inr_any_leaf, round(avg(CASE WHEN other_{k} > 0 THEN 1.0 ELSE 0 END), 6) AS inr_any_other, count(*) AS n_leaf_mentions FROM per" for k in KS))
 def leaf_nonleaf_metrics(t):
-    return metrics.placement_scores(_per(t), KS).select("k", _r("inr_any_leaf"), _r("inr_any_other"), "n_leaf_mentions")
+    return metrics.placement_scores(_per(t)).select("k", _r("inr_any_leaf"), _r("inr_any_other"), "n_leaf_mentions")
 
 
 @query(f"WITH {SQL_HITS} SELECT '+ all' || chr(9) || printf('%.1f', 100 * avg(CASE WHEN in_10 > 0 THEN 1.0 ELSE 0 END)) || chr(9) || printf('%.1f', 100 * avg(CASE WHEN in_10 = n_gold THEN 1.0 ELSE 0 END)) || chr(9) || printf('%.3f', avg(rr)) AS line FROM per")
 def result_table(t):
-    return metrics.table_row(metrics.placement_scores(_per(t), KS), 10, "+ all")
+    return metrics.table_row(metrics.placement_scores(_per(t)), 10, "+ all")
 
 
 SQL_NOLEAF = f"{SQL_POOL}, {SQL_GOLD}, {sql_scored()}, {sql_ranked(1)}, plain AS (SELECT * FROM (SELECT mention_id, parent_id, child_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, parent_id, child_id) AS rank FROM scored) WHERE rank <= 1)"
@@ -580,7 +580,7 @@ def ablation(t):
     r, seeds, pool = _pool(t)
     e, m, g = views.edges(t), views.mentions(t), views.gold(t)
     wide = enrichment.endpoint_scores(pool, r)
-    variants = {"retrieval only": enrichment.rank_edges(enrichment.endpoint_scores(seeds, r), 10), "+ enrichment": enrichment.rank_edges(wide, 10), "+ leaf priority": enrichment.rank_edges(wide, 10, enrichment.top_is_leaf(r, views.concepts(t), e))}
+    variants = {"retrieval only": enrichment.rank_edges(enrichment.endpoint_scores(seeds, r), max(K_VALUES)), "+ enrichment": enrichment.rank_edges(wide, max(K_VALUES)), "+ leaf priority": enrichment.rank_edges(wide, max(K_VALUES), enrichment.top_is_leaf(r, views.concepts(t), e))}
     out = None
     for name, ranked in variants.items():
         one = metrics.placement_scores(metrics.per_mention(m, g, ranked, (10,)), (10,)).select(F.lit(name).alias("configuration"), _r("inr_any"), _r("mrr"))

@@ -172,3 +172,15 @@ def test_bootstrap_query_takes_all_resamples(spark, monkeypatch):
     rng = random.Random(3)
     d = sorted(sum(rng.choices([(i % 2 == 0) - (i % 3 == 0) for i in range(30)], k=30)) / 30 for _ in range(10_000))
     assert b.low == pytest.approx(100 * d[250], abs=3.4) and b.high == pytest.approx(100 * d[9750], abs=3.4)
+
+
+def test_metrics_reach_rank_50(spark, monkeypatch):
+    assert PlacementConfig().k == 50
+    best = [("M", f"p{i}", f"c{i}", 0.5, i) for i in range(1, 61)]
+    cut = lambda t, k=10, **_: spark.createDataFrame(best[:k], "mention_id string, parent_id string, child_id string, score double, rank int")
+    monkeypatch.setattr(queries, "_candidates", cut)
+    monkeypatch.setattr(queries.views, "mentions", lambda t: spark.createDataFrame([("M",)], "mention_id string"))
+    monkeypatch.setattr(queries.views, "gold", lambda t: spark.createDataFrame([("M", "p40", "c40")], "mention_id string, parent_id string, child_id string"))
+    assert {r.k: r.inr_any for r in queries.QUERIES["inr_at_k"](spark, "").collect()} == {1: 0, 5: 0, 10: 0, 50: 1}
+    assert queries.QUERIES["mrr_map"](spark, "").first().rr == pytest.approx(1 / 40)
+    assert {r.k for r in queries.QUERIES["leaf_nonleaf_metrics"](spark, "").collect()} == {1, 5, 10, 50}

@@ -221,6 +221,17 @@ def test_line_dedup(spark, clashing):
             assert "".join(line_dedup.cut(x, unit)) == x
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(subwords.tokenizer_path()), subwords.SubwordEncoder()
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>\n<|endoftext|>  y", "<|ENDOFTEXT|> z", "no mark <|endof text|>", "just words"]
+    whole = lambda t: plain.encode(t, add_special_tokens=False).ids
+    assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode(texts)] == [whole(t) for t in texts]
+    assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_words([t.split() for t in texts])] == [whole(" " + " ".join(t.split())) for t in texts]
+    assert 50256 in whole(texts[0])
+
+
 def test_turan_system():
     from itertools import combinations
 

@@ -8,7 +8,7 @@ comes first for even keys and last for odd ones. Gold are the customer's nation
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import NULL_ID
@@ -84,9 +84,8 @@ def _retrieved(t: Tables) -> DataFrame:
     shares = per.join(whole, "o_custkey").join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select(_id("M", "o_custkey").alias("mention_id"), _id("S", "l_suppkey").alias("concept_id"), F.round(F.col("s") / F.col("w"), 4).alias("score"))
     own = c.select(_id("M", "c_custkey").alias("mention_id"), _id("C", "c_custkey").alias("concept_id"), F.lit(1.0).alias("score"))
     nation = c.select(_id("M", "c_custkey").alias("mention_id"), _id("N", "c_nationkey").alias("concept_id"), F.when(F.col("c_custkey") % 2 == 0, 2.0).otherwise(0.0).alias("score"))
-    from ..operators.retrieval import top_per
-
-    return top_per(shares.unionByName(own).unionByName(nation), "mention_id", 1_000_000, F.desc("score"), F.asc("concept_id"))
+    order = Window.partitionBy("mention_id").orderBy(F.desc("score"), F.asc("concept_id"))
+    return shares.unionByName(own).unionByName(nation).withColumn("rank", F.row_number().over(order))
 
 
 def gold(t: Tables) -> DataFrame:

@@ -184,3 +184,9 @@ def test_metrics_reach_rank_50(spark, monkeypatch):
     assert {r.k: r.inr_any for r in queries.QUERIES["inr_at_k"](spark, "").collect()} == {1: 0, 5: 0, 10: 0, 50: 1}
     assert queries.QUERIES["mrr_map"](spark, "").first().rr == pytest.approx(1 / 40)
     assert {r.k for r in queries.QUERIES["leaf_nonleaf_metrics"](spark, "").collect()} == {1, 5, 10, 50}
+
+
+def test_retrieved_has_no_row_cap(spark):
+    t = queries.Tables(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    plan = queries.views._retrieved(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan and "1000000" not in plan

@@ -387,10 +387,12 @@ def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                few = batch.slice(a, 256)
-                ids = e.encode_words([words_of(t) for t in few.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(ids, pa.binary())], [*few.schema.names, "ids"])
+            for a in range(0, batch.num_rows, 1024):
+                few = batch.slice(a, 1024)
+                ids, counts = e.encode_column(few.column("text"), words=True)
+                ends = np.concatenate([[0], np.cumsum(counts)]) * e.dtype.itemsize
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), few.num_rows, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*few.columns, column], [*few.schema.names, "ids"])
 
     return run
 

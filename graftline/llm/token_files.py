@@ -13,8 +13,10 @@ tokenises and counts, one that codes. Only counts by id (bounded by the vocabula
 per partition reach the driver.
 
 Edge cases: a null text is empty and yields the end id alone; null doc_ids come first; rows that
-repeat a doc_id stay separate and follow each other by text; an empty table makes files without
-blocks. Other columns of the input are not read, whatever their names.
+repeat a doc_id stay separate and follow each other by a hash of the text, then by text, so that many
+of one doc_id (or without any) are dealt over tasks; an empty table makes files without
+blocks. A very long text is one document of a block however many ids it has. Other columns of the
+input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,29 +142,36 @@ class Decoder:
 
 def _tokenise(path: str | None, end_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        end = np.asarray([end_id], e.dtype).tobytes()
-        width, part = e.dtype.itemsize, TaskContext.get().partitionId()
-        ids: list[bytes] = []
-        names: list = []
-        sizes: list[int] = []
+        e, part = encoder(path), TaskContext.get().partitionId()
+        ids: list[np.ndarray] = []
+        names: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
         chunk = done = held = 0
-        longs = pa.list_(pa.int64())
 
         def row() -> pa.RecordBatch:
+            name, size = pa.concat_arrays(names), pa.array(np.concatenate(sizes), pa.int64())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (name, size)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([done], pa.int64()), pa.array([names], longs), pa.array([sizes], longs), pa.array([b"".join(ids)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([done], pa.int64()), *lists, pa.array([np.concatenate(ids).tobytes()], pa.binary())],
                 ["part", "chunk", "start_in_part", "doc_ids", "n_tokens", "ids"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                few = batch.slice(a, 256)
-                for d, b in zip(few.column("doc_id").to_pylist(), e.encode(few.column("text").to_pylist())):
-                    b += end
-                    ids.append(b)
-                    names.append(d)
-                    sizes.append(len(b) // width)
-                    held += sizes[-1]
+            for a in range(0, batch.num_rows, 1024):
+                few = batch.slice(a, 1024)
+                own, counts = e.encode_column(few.column("text"))
+                ends = np.cumsum(counts + 1)
+                line = np.full(int(ends[-1]), end_id, e.dtype)
+                inner = np.ones(len(line), bool)
+                inner[ends - 1] = False
+                line[inner] = own
+                at = before = 0
+                while at < few.num_rows:  # as many documents as fill a block
+                    z = min(few.num_rows, int(np.searchsorted(ends, before + block - held)) + 1)
+                    ids.append(line[before : ends[z - 1]])
+                    names.append(few.column("doc_id").slice(at, z - at))
+                    sizes.append(counts[at:z] + 1)
+                    held += int(ends[z - 1]) - before
+                    at, before = z, int(ends[z - 1])
                     if held >= block:
                         yield row()
                         ids, names, sizes, chunk, done, held = [], [], [], chunk + 1, done + held, 0
@@ -189,7 +198,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Tokenises all documents in ascending id order and writes the two tables under ``path``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     held = scratch_path(spark, "ids")
     chunks = written(ordered.mapInArrow(_tokenise(tokenizer, end_id, block), _CHUNKS), "ids", held)
     e = encoder(tokenizer)

@@ -45,7 +45,7 @@ UND = "und"
 #: Pipeline: share of a document's n-grams (corrected) that its language must explain.
 MIN_COVER = 0.15
 #: Characters taken at once.
-CHARS = 1 << 21
+CHARS = 1 << 18
 
 
 @lru_cache(maxsize=1)

@@ -50,8 +50,8 @@ def test_chat(spark):
     assert [r[(1, "bob")].text[m.start:m.end] for m in r[(1, "bob")]["mask"]] == ["<|im_end|>"] * 2
     assert chat.rotate(t.limit(0)).count() == 0
     crowd = spark.createDataFrame([(1, i // 40, "ab"[i % 2], str(i)) for i in range(4000)], "conv_id int, turn int, role string, text string")
-    parts = chat.rotate(crowd, crowd=64).where("perspective = 'a'").collect()
-    assert sum(p.n_turns for p in parts) == 4000 and max(p.n_turns for p in parts) < 200 and {p.block for p in parts} == {0, 1}
+    parts = chat.rotate(crowd).where("perspective = 'a'").collect()
+    assert sum(p.n_turns for p in parts) == 4000 and max(p.n_turns for p in parts) < 500 and len({p.part for p in parts}) == 10 and {p.block for p in parts} == {0, 1}
 
 
 def test_language(spark, docs, clashing):
@@ -202,22 +202,69 @@ def test_mixing(spark, docs, clashing, rows):
     assert mixing.sample(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_line_dedup_removes_short_units(spark):
-    t = spark.createDataFrame([(1, "a b.\n\nOnce here.\n"), (2, "A  b.\n\nx\n"), (3, "x\n \nOnce there.\na b.")], "doc_id bigint, text string")
-    assert {r.row.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(t).collect()} == {
-        1: ("a b.\n\nOnce here.\n", 0), 2: ("\nx\n", 1), 3: (" \nOnce there.\n", 2)}
+def plain_line_dedup(rows, unit, min_run):
+    """(doc_id, text) rows -> per row (text, spans), one row and one unit after the other."""
+    import re
+
+    def units(x):
+        if unit == "paragraph":
+            return [m.group() for m in re.finditer(r"(?s).+?(?:\n\n+|\Z)", x)]
+        lines = re.findall(r"[^\n]*\n|[^\n]+", x)
+        if unit == "line":
+            return lines
+        out = []
+        for line in lines:
+            held = ""
+            for sentence in re.findall(r".*?(?:[.!?] |\Z)", line, re.S):
+                held += sentence
+                if len(re.findall(r"[^\x20\x09-\x0D]+", sentence)) >= 4:
+                    out.append(held)
+                    held = ""
+            out += [held] if held else []
+        return out
+
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, hashlib.md5((rows[i][1] or "").encode()).hexdigest()[:15], i))
+    seen, result = set(), [None] * len(rows)
+    for i in order:
+        text, at, runs = rows[i][1], 0, [[]]
+        for u in units(text or ""):
+            norm = " ".join(re.findall(r"[^\x20\x09-\x0D]+", u.lower()))
+            if norm and norm in seen:
+                runs[-1].append((at, at + len(u), norm.count(" ") + 1))
+            elif norm:
+                seen.add(norm)
+                runs.append([])
+            at += len(u)
+        gone = [(a, z) for run in runs if sum(w for *_, w in run) >= min_run for a, z, _ in run]
+        result[i] = (None if text is None else "".join(c for k, c in enumerate(text) if not any(a <= k < z for a, z in gone)), gone)
+    return result
+
+
+@pytest.mark.parametrize("unit,min_run,hot", [("soft", 25, 1e-4), ("soft", 1, 0.02), ("line", 1, 1e-4), ("line", 6, 1.0), ("paragraph", 1, 1e-4)])
+def test_line_dedup_against_plain(spark, monkeypatch, unit, min_run, hot):
+    r = random.Random(min_run)
+    sentences = [text(900 + k, r.randint(1, 9)) for k in range(30)]
+    glue = [" ", " ", "\n", "\n\n", "  \n", "! ", "\n \n"]
+    make = lambda: "".join(x for _ in range(r.randint(0, 14)) for x in (r.choice(sentences), r.choice(glue)))
+    rows = [(r.choice([None, k, k, k, 3]), make()) for k in range(60)]
+    rows += [rows[5], rows[5], (None, rows[7][1]), (None, rows[7][1]), (90, None), (91, ""), (92, "\n \n"), (93, "Ünï çôdé wörds hëre. " * 9), (94, "ünï ÇÔDÉ wörds hëre. x")]
+    # Two different texts without an id and of equal crc32, which share a line.
+    rows += [(None, "shared line of five words\n" + x) for x in ("plumless", "buckeroo")]
+    plain = [(a, b, c, d) for (a, b), (c, d) in zip(rows, plain_line_dedup(rows, unit, min_run))]
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", hot)
+    t = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    got = [(x.row.doc_id, x.row.text, x.text, [(s.start, s.end) for s in x.spans]) for x in line_dedup.dedup(t, unit=unit, min_run=min_run).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain)) and any(x[3] for x in got)
 
 
 def test_line_dedup(spark, clashing):
-    line = "This is a line of boilerplate that repeats everywhere."
-    t = spark.createDataFrame([(1, f"{line}\nfirst one.\n{line.upper()}\n"), (2, f"start. {line} end"), (2, f"start. {line} end"), (None, f"  {line}"), (4, None), (5, ""), (6, "ab\nab\n")], "doc_id int, text string")
-    r = {(x.row.doc_id): x for x in line_dedup.dedup(t).collect()}
-    assert r[None].text == f"  {line}" and r[1].text == "first one.\n" and r[1].n_removed == 2 and [(s.start, s.end) for s in r[1].spans] == [(0, 55), (66, 121)]
-    assert r[2].text == "start. end" and r[4].text is None and r[5].text == "" and r[6].text == "ab\nab\n"
-    assert line_dedup.dedup(t).count() == 7 and line_dedup.dedup(t.limit(0)).count() == 0
+    t = spark.createDataFrame([(1, "a b.\n\nOnce here.\n"), (2, "A  b.\n\nx\n"), (3, "x\n \nOnce there.\na b."), (4, None), (5, "")], "doc_id bigint, text string")
+    assert {r.row.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(t, min_run=1).collect()} == {
+        1: ("a b.\n\nOnce here.\n", 0), 2: ("\nx\n", 1), 3: (" \nOnce there.\n", 2), 4: (None, 0), 5: ("", 0)}
+    assert line_dedup.dedup(t).count() == 5 and line_dedup.dedup(t.limit(0)).count() == 0
     assert line_dedup.dedup(clashing).select("row.*").columns == clashing.columns
     for unit in ("line", "soft", "paragraph"):
-        for x in ("a\n\nb. c! d\n", "\n\n\n", "x\0y. z", ""):
+        for x in ("a\n\nb. c! d\n", "\n\n\n", "x\0y. z", "", " ".join(["one two three four."] * 20_000)):
             assert "".join(line_dedup.cut(x, unit)) == x
 
 
@@ -228,8 +275,13 @@ def test_added_tokens_in_texts():
     texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>\n<|endoftext|>  y", "<|ENDOFTEXT|> z", "no mark <|endof text|>", "just words"]
     whole = lambda t: plain.encode(t, add_special_tokens=False).ids
     assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode(texts)] == [whole(t) for t in texts]
-    assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_words([t.split() for t in texts])] == [whole(" " + " ".join(t.split())) for t in texts]
+    lower = [" " + " ".join(w.decode() for w in t.encode().lower().split()) for t in texts]
     assert 50256 in whole(texts[0])
+    plain.encode_special_tokens = True  # words are ordinary text
+    assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_words(texts)] == [whole(t) for t in lower]
+    odd = ["\0abc", " abc", "a\u00a0b \u00a0 c\u2003", "it's 3.14, x_y", "\0", "", None]
+    lower = ["".join(" " + w.decode() for w in (t or "").encode().lower().split()) for t in odd]
+    assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_words(odd)] == [whole(t) for t in lower]
 
 
 def test_turan_system():
@@ -295,17 +347,42 @@ def test_token_codes():
 
 
 def test_token_files(spark, docs, rows):
-    e = subwords.SubwordEncoder(limit=50)
-    odd = ["", " ", "\n", " a", "a  b", "x\n\ny \t z", "a\x1cb c", "<|endoftext|> hi", "don't stop 's", "3.14,5 ...!? a_b ._x", "日本語 テスト。x", "a b c", "Ġx Ċ y", "\0a b"]
-    texts = odd + [t or "" for _, t, *_ in rows] * 2
-    assert e.encode(texts) == [e.raw(t) for t in texts]
-    got = token_files.token_digests(docs).collect()
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(subwords.tokenizer_path())  # the library alone
+    whole = lambda t: np.asarray(plain.encode(t or "", add_special_tokens=False).ids, "<u4")
+    odd = ["", " ", "\n", " a", "a  b", "x\n\ny \t z", "a\x1cb c", "<|endoftext|> hi", "don't stop 's", "3.14,5 ...!? a_b ._x", "日本語 テスト。x", "a b c", "Ġx Ċ y", "\0a b", "a\0", "a", None, "x\u00a0 y", "x\u3000\n y", "\u2003", "x\u00a0\n\n z", "e\u2019s \u201cq\u201d", "y" * 70, "z" * 14 + " " + "z" * 15 + " " + "z" * 16]
+    r = random.Random(5)
+    odd += ["".join(r.choices([*"aé1.' \n\t\0", "\u00a0", "\u2003", "  ", "it's", "<|endoftext|>", "\x1c", "漢"], k=r.randint(1, 14))) for _ in range(500)]
+    texts = odd + [t for _, t, *_ in rows] * 2
+    for e in (subwords.SubwordEncoder(), subwords.SubwordEncoder(limit=50, slot_bits=7)):
+        assert all((np.frombuffer(b, e.dtype) == whole(t)).all() for b, t in zip(e.encode(texts), texts))
+    long = [" ".join(t or "" for t in texts if "<|" not in (t or "")) * 12, "x" * 700_000 + " y", "q" + " " * 600_000 + "r"]
+    assert all((np.frombuffer(b, e.dtype) == whole(t)).all() for b, t in zip(e.encode(long), long))
+    # Several blocks of a partition, a document longer than a block, added tokens and NULs in the table.
+    rows = rows + [(1000 + i, t, None, None, None) for i, t in enumerate(odd)] + [(None, "<|endoftext|> x", None, None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = token_files.token_digests(docs.coalesce(2), block=300).collect()
+    place = {(r.doc_id, r.start): r for r in got}
+    assert len(place) == len(got)
+    start = 0
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == sorted((d for d, *_ in rows), key=lambda d: (d is not None, d or 0))
+    by_id = {}
+    for d, t, *_ in rows:
+        ids = np.append(whole(t), 0).astype("<u4")
+        by_id.setdefault(d, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    for r in ordered:
+        by_id[r.doc_id].remove((r.n_tokens, r.ids_crc32))
+        assert r.start == start
+        start += r.n_tokens
+    got = token_files.token_digests(docs.where("doc_id < 45")).collect()
     start = 0
-    for r, (d, t, *_) in zip(sorted(got, key=lambda r: r.start), sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))):
-        ids = np.append(np.frombuffer(e.raw(t or ""), "<u2"), 0).astype("<u4")
+    for r, (d, t, *_) in zip(sorted(got, key=lambda r: r.start), sorted((r for r in rows if r[0] is not None and r[0] < 45), key=lambda r: r[0])):
+        ids = np.append(whole(t), 0).astype("<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    assert len(got) == len(rows) and token_files.token_digests(docs.limit(0)).count() == 0
+    assert len(got) == 45 and token_files.token_digests(docs.limit(0)).count() == 0
 
 
 def test_decontamination(spark, docs, clashing, rows):

@@ -182,13 +182,13 @@ def _tokenise(path: str | None, end_id: int, block: int):
 
 
 def _count(width: int, vocabulary: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for f in frames:
-            for b in f["ids"]:
-                total += np.bincount(np.frombuffer(b, f"<u{width}"), minlength=vocabulary)
+        for batch in batches:
+            for b in batch.column("ids"):
+                total += np.bincount(np.frombuffer(b.as_buffer(), f"<u{width}"), minlength=vocabulary)
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"symbol": used.astype(np.int32), "n": total[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["symbol", "n"])
 
     return run
 
@@ -205,7 +205,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     e = encoder(tokenizer)
     width, vocabulary = e.dtype.itemsize, e.vocabulary
     # At most one row per id of the vocabulary, and one per partition.
-    per_id = chunks.select("ids").mapInPandas(_count(width, vocabulary), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    per_id = chunks.select("ids").mapInArrow(_count(width, vocabulary), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     per_part = chunks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("n")).orderBy("part").collect()
     counts = np.zeros(vocabulary, np.int64)
     for r in per_id:
@@ -219,15 +219,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     book.coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast((bits, before))  # a byte per id of the vocabulary, a number per partition
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, before = shared.value
         codes = canonical_codes(bits)
-        for f in frames:
-            for r in f.itertuples(index=False):
-                payload, marks = pack(np.frombuffer(r.ids, f"<u{width}"), bits, codes)
-                yield pd.DataFrame({"start": [before[r.part] + r.start_in_part], "doc_ids": [r.doc_ids], "n_tokens": [r.n_tokens], "checkpoints": [marks], "payload": [payload]})
-
-    chunks.mapInPandas(encode, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+        for batch in batches:
+            for a in range(0, batch.num_rows, 16):
+                few = batch.slice(a, 16)
+                packed = [pack(np.frombuffer(b.as_buffer(), f"<u{width}"), bits, codes) for b in few.column("ids")]
+                start = [before[k] + n for k, n in zip(few.column("part").to_pylist(), few.column("start_in_part").to_pylist())]
+                marks = pa.array([m for _, m in packed], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(start, pa.int64()), few.column("doc_ids"), few.column("n_tokens"), marks, pa.array([x for x, _ in packed], pa.binary())], ["start", "doc_ids", "n_tokens", "checkpoints", "payload"])
+
+    chunks.mapInArrow(encode, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    shared.destroy()
     remove(spark, held)
 
 
@@ -239,17 +243,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     bits[book["symbol"]] = book["bits"]
     shared = spark.sparkContext.broadcast(bits)
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        for f in frames:
-            for r in f.itertuples(index=False):
-                sizes = np.asarray(r.n_tokens, np.int64)
-                ids = decoder.unpack(r.payload, r.checkpoints, int(sizes.sum())).astype("<u4").tobytes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, sizes = batch.column("doc_ids")[i].values, batch.column("n_tokens")[i].values.to_numpy()
+                ids = decoder.unpack(batch.column("payload")[i].as_buffer(), batch.column("checkpoints")[i].values.to_numpy(), int(sizes.sum()))
                 ends = np.cumsum(sizes)
-                names = pd.array([None if d is None or d != d else int(d) for d in r.doc_ids], "Int64")
-                yield pd.DataFrame({"doc_id": names, "start": r.start + ends - sizes, "n_tokens": sizes, "ids": [ids[4 * (b - n) : 4 * b] for b, n in zip(ends, sizes)]})
+                places = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype("<i4" if 4 * ends[-1] < 1 << 31 else "<i8").tobytes())
+                kind, make = (pa.binary(), pa.BinaryArray) if 4 * ends[-1] < 1 << 31 else (pa.large_binary(), pa.LargeBinaryArray)
+                column = make.from_buffers(kind, len(sizes), [None, places, pa.py_buffer(ids.astype("<u4").tobytes())])
+                start = batch.column("start")[i].as_py() + ends - sizes
+                yield pa.RecordBatch.from_arrays([names, pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), column.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").mapInPandas(decode, _RECORDS)
+    return spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").mapInArrow(decode, _RECORDS)
 
 
 def token_digests(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -123,15 +123,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the order of a hash of the text.
     """
     taken = sample(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    nth = lambda *tie: F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(*tie))
-    taken = taken.select("_id", "_source", "_size", "copies").select("*", nth(F.col("copies").desc()).alias("_nth"))
+    keys = ["_id", "_source", "_size"]
     columns = docs.columns
-    rows = docs.select(F.struct("*").alias("_row")).select(
-        "_row", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{source_col}`").alias("_source"), word_count(F.col(f"_row.`{text_col}`")).alias("_size"))
-    rows = rows.select("*", nth(F.xxhash64(F.col(f"_row.`{text_col}`"))).alias("_nth"))
-    t = taken.where("copies > 0")
-    same = [rows[c].eqNullSafe(t[c]) for c in ("_id", "_source", "_size", "_nth")]
-    joined = rows.join(t, same[0] & same[1] & same[2] & same[3]).select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy"))
+    rows = docs.select(F.struct("*").alias("_row"))
+    rows = rows.select(F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{source_col}`").alias("_source"), word_count(F.col(f"_row.`{text_col}`")).alias("_size"), "_row",
+                       F.xxhash64(F.col(f"_row.`{text_col}`")).alias("_tie"), F.lit(None).cast("bigint").alias("_copies"))
+    taken = taken.where("copies > 0").select(*keys, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), (-F.col("copies")).alias("_tie"), F.col("copies").alias("_copies"))
+    # Rows and what is taken of them meet in windows on the same keys, so that documents move once.
+    both = rows.unionByName(taken).repartition(*keys).withColumn("_taken", F.col("_copies").isNotNull())
+    both = both.select("*", F.row_number().over(Window.partitionBy(*keys, "_taken").orderBy("_tie")).alias("_nth"))
+    both = both.select("*", F.max("_copies").over(Window.partitionBy(*keys, "_nth")).alias("_times"))
+    joined = both.where("not _taken and _times > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy"))
     return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 

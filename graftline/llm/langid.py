@@ -15,7 +15,10 @@ documents per language, drawn by a hash of the id.
 Edge cases: a text that is null or without a letter is ``und`` with score 0; a text with letters but
 without any hit gets the first language by code point, score 0; ties go to the first by code point; a
 document without lang isn't learned from; without any learned language all are ``und``. Rows that
-repeat are predicted alike. Other columns pass through untouched, whatever their names.
+repeat are predicted alike; a language of a single training document has all its n-grams. Very long
+texts are taken whole, in memory of about 60 bytes per character; texts are taken in blocks of ``CHARS``
+characters or one text. An empty table gives an empty result. Other columns pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 
 N = 4
 HASHES = 3
@@ -186,6 +189,19 @@ def _document_grams(n: int):
     return run
 
 
+def _own_shares(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        place = {lang: i for i, lang in enumerate(model.langs)}
+        for batch in batches:
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            for a in range(0, len(texts), 32):
+                found, _ = model.shares(texts[a : a + 32])
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, len(found)), pa.array([float(found[i, place[k]]) for i, k in enumerate(langs[a : a + 32])])], ["lang", "cover"])
+
+    return run
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
         n: int = N, min_share: float = MIN_SHARE, min_docs: int = MIN_DOCS) -> LanguageFilter:
     """Fits the filter on about ``sample`` rows per language. The driver gets the n-grams above the
@@ -198,19 +214,21 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     shares = rows.sparkSession.createDataFrame([(k, min(1.0, sample / v)) for k, v in per.items()], "lang string, share double")
     lot = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 20)).cast("double") / (1 << 20)
     drawn = rows.join(F.broadcast(shares), "lang").where(lot < F.col("share")).select("lang", "text")
-    counts = drawn.mapInPandas(_document_grams(n), "lang string, gram bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    kept = counts.where("docs >= 2").toPandas()
-    for i, lang in enumerate(model.langs):
-        own = kept[kept["lang"] == lang]
-        least = max(min_docs, min_share * min(per[lang], sample))
-        model.add(i, own.loc[own["docs"] >= min(least, own["docs"].max() if len(own) else least), "gram"].to_numpy(np.int64).view(np.uint64))
-    # Share of hits that documents of each language have in their own filter, from a sixteenth
-    # of the sample.
-    few = drawn.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).collect()
+    counts = written(drawn.mapInPandas(_document_grams(n), "lang string, gram bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")), "grams")
+    most = {r.lang: r.n for r in counts.groupBy("lang").agg(F.max("docs").alias("n")).collect()}
+    # A language whose documents share no n-gram so often keeps those that most of them share.
+    least = [(k, float(min(v, max(min_docs, min_share * min(per[k], sample))))) for k, v in most.items()]
+    least = rows.sparkSession.createDataFrame(least, "lang string, least double")
+    kept = counts.join(F.broadcast(least), "lang").where(F.col("docs") >= F.col("least")).select("lang", "gram").toPandas()
     for i, lang in enumerate(model.langs):
-        own = [r.text for r in few if r.lang == lang]
-        if own:
-            model.cover[i] = max(0.05, float(model.shares(own)[0][:, i].mean()))
+        model.add(i, kept.loc[kept["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64))
+    # Share of hits that the sampled documents of each language have in their own filter; a language
+    # of which none was drawn gets the mean of the others.
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    own = {r.lang: r.cover for r in drawn.mapInArrow(_own_shares(shared), "lang string, cover double").groupBy("lang").agg(F.avg("cover").alias("cover")).collect()}
+    shared.destroy()
+    mean = sum(own.values()) / len(own) if own else 1.0
+    model.cover[:] = [max(0.05, own.get(lang, mean)) for lang in model.langs]
     return model
 
 

@@ -75,6 +75,45 @@ def test_language(spark, docs, clashing):
     assert langid.fit(docs.limit(0)).predict(["abc"])[0] == [langid.UND] and langid.accepted(docs.limit(0), model).count() == 0
 
 
+def plain_languages(train, texts, min_share=langid.MIN_SHARE, min_docs=langid.MIN_DOCS):
+    """Languages by exact sets of n-grams: (lang, text) of training -> best language and score per text."""
+    from collections import Counter
+
+    def grams_of(t):
+        line = "".join(c.lower() if c.isalpha() else " " for c in t or "")
+        line = " " + " ".join(line.split()) + " "
+        return [line[i : i + langid.N] for i in range(len(line) - langid.N + 1)] if line.strip() else []
+
+    sets, cover = {}, {}
+    for lang in {k for k, _ in train}:
+        own = [t for k, t in train if k == lang]
+        docs = Counter(g for t in own for g in set(grams_of(t)))
+        least = min(max(docs.values()), max(min_docs, min_share * len(own)))
+        sets[lang] = {g for g, n in docs.items() if n >= least}
+        cover[lang] = np.mean([sum(g in sets[lang] for g in grams_of(t)) / max(1, len(grams_of(t))) for t in own])
+    out = []
+    for t in texts:
+        g = grams_of(t)
+        even = {k: sum(x in s for x in g) / max(1, len(g)) / max(0.05, cover[k]) for k, s in sets.items()}
+        first, second = sorted(even.values(), reverse=True)[:2]
+        out.append((max(sorted(even), key=even.get), first / (first + second) if first else 0.0))
+    return out
+
+
+def test_language_against_plain(spark):
+    r = random.Random(8)
+    parts = {"a": WORDS, "b": "der und ung sch keit lich ein ver ße".split(), "c": "le la queai eaux ouré tre ment the und".split(), "d": ["solo uno dos"]}
+    make = lambda k, n: " ".join("".join(r.choices(parts[k], k=2)) for _ in range(n))
+    train = [(k, make(k, r.randint(1, 60))) for k in "abc" for _ in range(80)] + [("d", parts["d"][0])]  # d: one document alone
+    model = langid.fit(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(train)], "doc_id bigint, text string, lang string"))
+    texts = [make(r.choice("abc"), r.randint(1, 40)) for _ in range(120)] + [parts["d"][0], make("b", 60_000), make("a", 20) + " " + make("b", 22)]
+    names, scores, _ = model.predict(texts)
+    want = plain_languages(train, texts)
+    assert names == [k for k, _ in want] and np.allclose(scores, [s for _, s in want], atol=0.01) and names[120] == "d"
+    few = langid.fit(spark.createDataFrame([(1, "solo uno", "x"), (2, "der die", "y"), (3, None, "z"), (4, "drei", None)], "doc_id bigint, text string, lang string"))
+    assert few.langs == ["x", "y", "z"] and few.predict(["uno", "die", None])[0] == ["x", "y", "und"] and (few.cover > 0).all()
+
+
 def test_cotraining(spark, docs):
     r = random.Random(5)
     junk = [(2000 + i, text(i, 40).replace(" ", "$$$ ") if i % 2 else text(i, 40) + " moron idiot", "en", "bad", 5) for i in range(60)]

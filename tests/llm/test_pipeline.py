@@ -49,3 +49,26 @@ def test_pipeline(spark, folder):
         start += len(ids)
     assert sorted(map(tuple, corpus_pipeline.run(spark, where).collect())) == sorted(map(tuple, out))
     assert mixing.WEIGHTS == (5, 2, 1)
+
+
+def test_pipeline_keeps_its_files_and_takes_odd_tables(spark, folder, tmp_path):
+    import corpus_pipeline
+    from graftline.llm import token_files
+
+    where, rows = folder
+    spark.conf.set("spark.graftline.tokens.dir", f"file://{tmp_path}/corpora")
+    try:
+        got = sorted(map(tuple, corpus_pipeline.run(spark, where).collect()), key=lambda r: r[1])
+    finally:
+        spark.conf.unset("spark.graftline.tokens.dir")
+    (made,) = (tmp_path / "corpora").iterdir()
+    again = token_files.read_token_files(spark, f"file://{made}").collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in again) == sorted(got) and got
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    names = ["row", "_row", "_id", "fp", "key", "start", "copies", "_copies", "_taken", "_doc"]
+    for table in (docs.limit(0), docs.selectExpr("*", *[f"1 AS {n}" for n in names])):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = table.columns
+            table = stage(spark, table, where)
+            assert table.columns == columns
+        assert corpus_pipeline.tokens(spark, table, where).count() == table.count()

@@ -17,6 +17,10 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Bytes of an Arrow batch on its way to or from Python: rows of long texts would else fill batches of
+#: 64 MB, several copies of which a task holds. Set where the session has Spark's default.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
 
 def get_session(app: str = "graftline", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -28,7 +32,11 @@ def get_session(app: str = "graftline", master: str | None = None, **conf: str)
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of the session, once per Spark context."""
+    """Sends this package to the Python workers of the session, once per Spark context, and bounds
+    the bytes of the batches that they get."""
+    key, default, ours = BATCH_BYTES
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, ours)
     sc = spark.sparkContext
     if getattr(sc, "_graftline_shipped", False):
         return

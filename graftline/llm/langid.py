@@ -235,12 +235,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
     """Every row as struct ``row`` (all columns as they were) with lang_pred, score and cover."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes per slot and 64 languages: 8 MB
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)] + T._parse_datatype_string("lang_pred string, score double, cover double").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores, covers = shared.value.predict(b.column("text").to_pylist())
+            names, scores, covers = shared.value.predict(b.column("row").field(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names, pa.string()), pa.array(scores), pa.array(covers)], ["row", "lang_pred", "score", "cover"])
 
     return rows.mapInArrow(run, schema)

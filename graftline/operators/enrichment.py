@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import NULL_ID
+from .retrieval import dot
 
 EDGE = ["mention_id", "parent_id", "child_id"]
+#: Between parent and child in the id of an edge with a vector.
+EDGE_MARK = "\x1f"
 
 
 def concept_edges(concepts: DataFrame, par: DataFrame, ch: DataFrame, include_leaf: bool = True) -> DataFrame:
@@ -66,6 +69,16 @@ def looked_up_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
     return edges.join(scores.select(*EDGE, F.col("score").alias("_score")), EDGE, "left").select(*edges.columns, F.coalesce("_score", F.lit(float("-inf"))).alias("score"))
 
 
+def dot_scores(edges: DataFrame, mention_vectors: DataFrame, edge_vectors: DataFrame) -> DataFrame:
+    """Scores on demand: inner products of the vectors (id, vector) of the mention and of the edge, whose
+    id is parent and child joined by ``EDGE_MARK``; edges or mentions without a vector come last."""
+    m = mention_vectors.select(F.col("id").alias("mention_id"), F.col("vector").alias("_m"))
+    e = edge_vectors.select(F.col("id").alias("_edge"), F.col("vector").alias("_e"))
+    joined = edges.withColumn("_edge", F.concat_ws(EDGE_MARK, "parent_id", "child_id")).join(e, "_edge", "left").join(m, "mention_id", "left")
+    score = F.when(F.col("_m").isNotNull() & F.col("_e").isNotNull(), dot("_m", "_e")).otherwise(F.lit(float("-inf")))
+    return joined.select(*edges.columns, score.alias("score"))
+
+
 def top_is_leaf(retrieved: DataFrame, concepts: DataFrame, ch: DataFrame) -> DataFrame:
     """(mention_id) of mentions whose first concept is known and has no children."""
     first = retrieved.where(F.col("rank") == 1).select("mention_id", F.col("concept_id").alias("id"))
@@ -108,10 +121,11 @@ def enrichment_statistics(sizes: DataFrame) -> DataFrame:
 
 
 def candidate_set(retrieved: DataFrame, concepts: DataFrame, par: DataFrame, ch: DataFrame, k: int | None, enrichment: bool = True,
-                  leaf_priority: bool = True, scorer=None) -> tuple[DataFrame, DataFrame]:
+                  leaf_priority: bool = True, scorer=None, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Stage two as one plan: (ranked candidates, pool sizes). scorer: edges -> edges with score;
-    by default the mean similarity of the ends by the retrieved scores."""
-    seeds = seed_edges(retrieved, par, ch).cache()  # read by every branch of the enrichment and by the sizes
+    by default the mean similarity of the ends by the retrieved scores. seeds: retrieved edges, in
+    place of those made from the retrieved concepts."""
+    seeds = (seed_edges(retrieved, par, ch) if seeds is None else seeds.select(*EDGE).distinct()).cache()  # read by every branch of the enrichment and by the sizes
     pool = enrich(seeds, par, ch) if enrichment else seeds
     scored = scorer(pool) if scorer else endpoint_scores(pool, retrieved)
     leafy = top_is_leaf(retrieved, concepts, ch) if leaf_priority else None

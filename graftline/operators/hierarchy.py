@@ -50,24 +50,29 @@ class Hierarchy:
         return joined.select(*[F.col(c) for c in ids.columns], title.alias(out))
 
 
-def reachable(pairs: DataFrame, ch: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable(pairs: DataFrame, ch: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(candidate, ancestor) pairs -> with ``is_descendant``: candidate lies below ancestor or equals it.
 
-    Breadth first from the distinct ancestors, all at once, keeping what has been seen, so that cycles
-    end; the sentinel and nulls reach nothing, except that equal ids are descendants of themselves.
+    Breadth first upwards from the distinct candidates, all at once, as a node has few ancestors but
+    may have a whole subtree below it; what has been seen is kept, so that cycles end. The sentinel
+    and nulls reach nothing, except that equal ids are descendants of themselves. Raises if nodes are
+    left after ``max_rounds`` (None: no limit).
     """
     ensure_checkpoint_dir(pairs.sparkSession)
-    wanted = pairs.select("candidate", "ancestor").distinct()
+    wanted = pairs.select("candidate", "ancestor").distinct().checkpoint()
     open_pairs = wanted.where((F.col("candidate") != F.col("ancestor")) & (F.col("candidate") != NULL_ID) & (F.col("ancestor") != NULL_ID))
-    frontier = open_pairs.select("ancestor", F.col("ancestor").alias("node")).distinct().checkpoint()
-    seen = frontier
-    for _ in range(max_rounds):
-        step = frontier.join(ch, frontier["node"] == ch["parent"]).select("ancestor", F.col("child").alias("node")).distinct()
-        frontier = step.join(seen, ["ancestor", "node"], "left_anti").checkpoint()
-        if frontier.limit(1).count() == 0:
-            break
-        seen = seen.unionByName(frontier).checkpoint()
-    hits = seen.where(F.col("ancestor") != F.col("node")).select("ancestor", F.col("node").alias("candidate"), F.lit(True).alias("_hit"))
+    up = ch.select(F.col("child").alias("node"), F.col("parent").alias("_up"))
+    frontier = open_pairs.select("candidate", F.col("candidate").alias("node")).distinct().checkpoint()
+    seen, parts, rounds = frontier, 1, 0
+    while frontier.limit(1).count():
+        if max_rounds is not None and rounds == max_rounds:
+            raise RuntimeError(f"ancestors are left after {max_rounds} rounds")
+        step = frontier.join(up, "node").select("candidate", F.col("_up").alias("node")).distinct()
+        frontier = step.join(seen, ["candidate", "node"], "left_anti").checkpoint()
+        seen, parts, rounds = seen.unionByName(frontier), parts + 1, rounds + 1
+        if parts == 16:  # deep hierarchies: keep the plan short
+            seen, parts = seen.checkpoint(), 1
+    hits = seen.where(F.col("candidate") != F.col("node")).select("candidate", F.col("node").alias("ancestor"), F.lit(True).alias("_hit"))
     found = wanted.join(hits, ["candidate", "ancestor"], "left")
     same = F.col("candidate").eqNullSafe(F.col("ancestor")) & F.col("candidate").isNotNull()
     return found.select("candidate", "ancestor", (same | F.coalesce("_hit", F.lit(False))).alias("is_descendant"))

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..schemas import NULL_ID
 from .enrichment import EDGE
 from .hierarchy import reachable
+from ..session import ensure_checkpoint_dir
 
 
 def cycle_free(edges: DataFrame, ch: DataFrame) -> DataFrame:
     """Adds ``acyclic`` (false where the parent lies below the child) and a note; ``consistent`` and
     ``satisfiable`` stay null, as structure alone can't tell them."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.checkpoint()  # read three times below, and ranked by all that is before it
     inner = edges.where(F.col("child_id") != NULL_ID).select(F.col("parent_id").alias("candidate"), F.col("child_id").alias("ancestor")).distinct()
     reach = reachable(inner, ch).select(F.col("candidate").alias("parent_id"), F.col("ancestor").alias("child_id"), "is_descendant")
     joined = edges.join(reach, ["parent_id", "child_id"], "left")

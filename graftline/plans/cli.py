@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -32,8 +33,11 @@ def build_parser() -> argparse.ArgumentParser:
             c.add_argument("--n-retrieved", type=int, default=50)
             c.add_argument("--no-enrichment", action="store_true")
             c.add_argument("--no-leaf-priority", action="store_true")
-        if name == "experiment":
+            c.add_argument("--mention-vectors", help="table of (id, vector), for dense retrievers")
+            c.add_argument("--vectors", help="table of (id, vector) of concepts, or, for bi_encoder, of edges (parent and child joined by U+001F)")
+            c.add_argument("--selector", choices=("cross_encoder",), help="re-rank by a selector, trained on the train split")
             c.add_argument("--max-train", type=int)
+            c.add_argument("--max-valid", type=int, help="mentions of the evaluated split, in order")
     return p
 
 
@@ -51,20 +55,24 @@ def main(argv: list[str] | None = None) -> int:
         depth = depths(gold.select(F.col("parent_id").alias("id")), hierarchy.concepts, hierarchy.par)
         splits.statistics_table(splits.dataset_statistics(mentions.drop("gold_edges"), gold, depth, hierarchy.par, hierarchy.ch, "split")).show(truncate=False)
         return 0
+    vectors = None
+    if a.retriever != "inverted_index":
+        if not (a.mention_vectors and a.vectors):
+            raise SystemExit(f"--retriever {a.retriever} needs --mention-vectors and --vectors")
+        vectors = spark.read.parquet(a.mention_vectors), spark.read.parquet(a.vectors)
     config = PlacementConfig(a.retriever, None, a.n_retrieved, a.k, not a.no_enrichment, not a.no_leaf_priority, a.edge_catalogue)
-    mentions = parts[a.split]
+    mentions = parts[a.split].limit(a.max_valid) if a.max_valid else parts[a.split]
     gold = jsonl.gold_table(mentions)
-    if a.command == "ablate":
-        print(format_ablation(ablation(config, hierarchy, mentions, gold), a.k))
-        return 0
     select = None
-    if a.command == "experiment":
+    if a.command == "experiment" or a.selector:
         train = parts["train"].limit(a.max_train) if a.max_train else parts["train"]
-        pool = run(config, hierarchy, train, jsonl.gold_table(train), validate=False).rankings
-        features = ["score", "rank"]
-        model = selection.LogisticSelector(features).fit(selection.cross_examples(pool, jsonl.gold_table(train)))
-        select, config = model.rerank, PlacementConfig(a.retriever, "cross_encoder", a.n_retrieved, a.k, not a.no_enrichment, not a.no_leaf_priority, a.edge_catalogue)
-    result = run(config, hierarchy, mentions, gold, select=select, timed=True)
+        pool = run(config, hierarchy, train, jsonl.gold_table(train), vectors, validate=False).rankings
+        model = selection.LogisticSelector(["score", "rank"]).fit(selection.cross_examples(pool, jsonl.gold_table(train)))
+        select, config = model.rerank, replace(config, selector="cross_encoder")
+    if a.command == "ablate":
+        print(format_ablation(ablation(config, hierarchy, mentions, gold, {"cross_encoder": select} if select else None, vectors), min(10, a.k)))
+        return 0
+    result = run(config, hierarchy, mentions, gold, vectors, select, timed=True)
     for row in result.scores:
         print(row)
     if a.output:

@@ -63,12 +63,22 @@ def retrieve(config: PlacementConfig, hierarchy: Hierarchy, mentions: DataFrame,
     found = retrieval.dense_topk(*vectors, config.n_retrieved, "cosine" if config.retriever == "fixed_embeddings" else "dot")
     if config.retriever == "fixed_embeddings":
         return found.select(F.col("query").alias("mention_id"), F.col("id").alias("concept_id"), "score", "rank")
-    edges = found.select(F.col("query").alias("mention_id"), F.substring_index("id", "\x1f", 1).alias("parent_id"), F.substring_index("id", "\x1f", -1).alias("child_id"), "score", "rank")
+    edges = _edges_found(found)
     ends = enrichment.endpoint_order(edges)
     best = edges.select("mention_id", F.explode(F.array("parent_id", "child_id")).alias("concept_id"), "score").groupBy("mention_id", "concept_id").agg(F.max("score").alias("score"))
     return ends.join(best, ["mention_id", "concept_id"])
 
 
+def _edges_found(found: DataFrame) -> DataFrame:
+    end = lambda n: F.substring_index("id", enrichment.EDGE_MARK, n)
+    return found.select(F.col("query").alias("mention_id"), end(1).alias("parent_id"), end(-1).alias("child_id"), "score", "rank")
+
+
+def retrieve_edges(config: PlacementConfig, vectors: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Stage one of the bi-encoder: the nearest edges of every mention, from which enrichment starts."""
+    return _edges_found(retrieval.dense_topk(*vectors, config.n_retrieved, "dot"))
+
+
 def run(config: PlacementConfig, hierarchy: Hierarchy, mentions: DataFrame, gold: DataFrame, vectors=None,
         select: Callable[[DataFrame], DataFrame] | None = None, validate: bool = True, timed: bool = False) -> RunResult:
     """All stages as one plan, evaluated at the given ks and at k; ``select`` re-ranks the candidates."""
@@ -83,8 +93,12 @@ def run(config: PlacementConfig, hierarchy: Hierarchy, mentions: DataFrame, gold
         return df
 
     retrieved = stage("retrieve", retrieve(config, hierarchy, mentions, vectors).cache())
-    scorer = (lambda e: enrichment.endpoint_scores(e, retrieved, config.null_similarity)) if config.null_similarity else None
-    candidates, sizes = enrichment.candidate_set(retrieved, hierarchy.concepts, hierarchy.par, hierarchy.ch, config.k, config.use_enrichment, config.use_leaf_priority, scorer)
+    seeds = None
+    if config.retriever == "bi_encoder":  # the pool holds edges that weren't retrieved: all are scored anew
+        seeds, scorer = retrieve_edges(config, vectors), lambda e: enrichment.dot_scores(e, *vectors)
+    else:
+        scorer = (lambda e: enrichment.endpoint_scores(e, retrieved, config.null_similarity)) if config.null_similarity else None
+    candidates, sizes = enrichment.candidate_set(retrieved, hierarchy.concepts, hierarchy.par, hierarchy.ch, config.k, config.use_enrichment, config.use_leaf_priority, scorer, seeds)
     candidates = stage("enrich", candidates.cache())
     if config.selector is not None and select is None:
         raise ValueError(f"selector {config.selector!r} needs a function")
@@ -95,16 +109,16 @@ def run(config: PlacementConfig, hierarchy: Hierarchy, mentions: DataFrame, gold
     return RunResult(asdict(config), [r.asDict() for r in scores.collect()], enrichment.enrichment_statistics(sizes).first().asDict(), validity, timing, rankings)
 
 
-def ablation(config: PlacementConfig, hierarchy: Hierarchy, mentions: DataFrame, gold: DataFrame, selectors: dict[str, Callable] | None = None) -> dict[str, RunResult]:
-    """Retrieval alone, with enrichment but no leaf rule, with both, and with each selector."""
-    plain = replace(config, selector=None)
-    out = {
-        "retrieval only": run(replace(plain, use_enrichment=False, use_leaf_priority=False), hierarchy, mentions, gold),
-        "+ enrichment": run(replace(plain, use_enrichment=True, use_leaf_priority=False), hierarchy, mentions, gold),
-        "+ leaf priority": run(replace(plain, use_enrichment=True, use_leaf_priority=True), hierarchy, mentions, gold),
-    }
-    for name, select in (selectors or {}).items():
-        out[f"+ {name}"] = run(replace(config, selector=name), hierarchy, mentions, gold, select=select)
+def ablation(config: PlacementConfig, hierarchy: Hierarchy, mentions: DataFrame, gold: DataFrame, selectors: dict[str, Callable] | None = None, vectors=None) -> dict[str, RunResult]:
+    """Retrieval alone, with enrichment, with each selector, and the whole without the leaf rule (with
+    the configured selector if it is among the given ones). The configured leaf rule holds elsewhere."""
+    selectors = selectors or {}
+    one = lambda select=None, **switches: run(replace(config, **switches), hierarchy, mentions, gold, vectors, select)
+    out = {"retrieval only": one(use_enrichment=False, selector=None), "+ enrichment": one(use_enrichment=True, selector=None)}
+    for name, select in selectors.items():
+        out[f"+ {name}"] = one(select, use_enrichment=True, selector=name)
+    last = config.selector if config.selector in selectors else None
+    out["- leaf priority"] = one(selectors.get(last), use_enrichment=True, use_leaf_priority=False, selector=last)
     return out
 
 

@@ -143,7 +143,14 @@ def test_whole_run(spark, toy):
     p = sinks.predictions(m, gold, r.rankings, toy.titles).collect()
     assert len(p) == 2 and all(len(x.predictions) <= 10 for x in p)
     table = format_ablation(ablation(PlacementConfig(k=5), toy, m, gold), 5)
-    assert table.count("\n") == 3
+    assert [line.split("\t")[0] for line in table.split("\n")[1:]] == ["retrieval only", "+ enrichment", "- leaf priority"]
+    # Bi-encoder: edges are the seeds, the enriched ones are scored by their own vectors.
+    mv = spark.createDataFrame([("m1", [1.0, 0.0]), ("m2", [0.0, 1.0])], "id string, vector array<double>")
+    ev = spark.createDataFrame([("A\x1fC", [0.9, 0.1]), ("root\x1fC", [2.0, 0.0]), (f"D\x1f{N}", [0.0, 3.0])], "id string, vector array<double>")
+    found = run(PlacementConfig(retriever="bi_encoder", n_retrieved=1, k=5, use_leaf_priority=False), toy, m.limit(1), gold, (mv.where("id = 'm1'"), ev.where("id like 'A%'")), validate=False)
+    assert [(x.parent_id, x.child_id, x.score) for x in found.rankings.orderBy("rank").collect()] == [("A", "C", 0.9), ("root", "C", -math.inf)]
+    found = run(PlacementConfig(retriever="bi_encoder", n_retrieved=1, k=5), toy, m, gold, (mv, ev), validate=False)
+    assert [(x.parent_id, x.child_id, x.score) for x in found.rankings.where("mention_id = 'm1'").orderBy("rank").collect()][0] == ("root", "C", 2.0)
     with pytest.raises(ValueError):
         PlacementConfig(retriever="nothing")
 

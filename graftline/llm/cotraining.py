@@ -1,19 +1,28 @@
 """Quality classification by co-training of a text view and a metadata view.
 
 A document is good if its label says quality 1 and not toxic. The text view sees words (hashed) and
-the make-up of the text (shares of signs, capitals, digits, repeated words); the metadata view sees
-lang, source and the size class of n_chars. Each is a logistic regression. In every round both are
-trained, and each hands the documents of an unlabelled pool that it is most sure of to the other one
-as labelled. At the end each view is calibrated (Platt) on labelled documents kept out of training,
-the calibrated views are combined by a further regression on these, and every document is scored.
+the make-up of the text (shares of signs, capitals, digits, lines, distinct words); the metadata view
+sees lang, source and the size class of n_chars. Each is a logistic regression. In every round both
+score all documents of the pool, and each hands those that it is most sure of to the other one as
+labelled. At the end each view is calibrated (Platt), the calibrated views are combined by a further
+regression, and every document is scored.
 
-Training is bounded: about ``LABELLED`` labelled and ``POOL`` unlabelled documents, drawn by a hash of
-the id; their features, not their texts, reach the driver.
+Labelled documents are split by crc32 of the id modulo 5: remainder 1 is held out from everything,
+remainder 3 serves calibration and combination alone, the rest trains. The pool is every document of
+the training remainders that isn't in the labelled sample, labelled ones too, their labels unseen.
+
+Training is bounded: about ``LABELLED`` labelled documents, drawn by a hash of the id, and about
+``HANDED`` pseudo-labelled ones per view and round, the surest of the whole pool; their features, not
+their texts, reach the driver. Which documents are surest is found by a histogram of sureness over the
+pool; of those that share the last bin some are drawn by the hash.
 
 Edge cases: a null text is empty; null metadata are values of their own; a label row with null
 quality is no label, null toxic counts as 0, of several labels of a document the worst counts;
-without labels of both kinds the score is the share of good ones (0.5 without any); rows that repeat
-are scored alike. Ids that labels don't know are only scored. Other columns pass through untouched.
+without labels of both kinds the score is the share of good ones (0.5 without any), and without such
+ones for calibration the training documents serve it; equally sure documents go by the hash of the id;
+rows that repeat are scored alike. Ids that labels don't know are only scored. A very long text is
+taken whole: its features are a set, bounded by the hash's range. An empty table gives an empty
+result. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,15 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 from .langid import remainder
 
 LABELLED = 5000
-POOL = 3000
 ROUNDS = 4
-#: Share of the pool that a view may hand over per round, and how sure it has to be.
-HAND_OVER = 0.05
+#: Documents that a view may hand over per round, about, and how sure it has to be.
+HANDED = 300
 SURE = 0.95
+#: Bins of the histogram of sureness; a bin is a step of the logit.
+BINS = 512
 TEXT_BITS = 16
 META_BITS = 12
 STEPS = 60
@@ -43,6 +53,7 @@ STEPS = 60
 MIN_ROWS = 4
 KEEP_FROM = 0.5
 
+_CAPITALS = bytes(range(65, 91))
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -70,7 +81,7 @@ def text_features(text: str | None) -> np.ndarray:
     words = raw.translate(_WORDS).lower().split()
     found = set(map(_buckets.__getitem__, words))
     n = len(words)
-    traits = [("n", n.bit_length()), ("distinct", _share(len(found), n)), ("upper", _share(sum(map(raw.count, [b"E", b"A", b"N", b"T", b"R"])), n)), ("digits", _share(len(raw) - len(raw.translate(None, b"0123456789")), n)), ("lines", _share(raw.count(b"\n"), n))]
+    traits = [("distinct", _share(len(found), n)), ("upper", _share(len(raw) - len(raw.translate(None, _CAPITALS)), n)), ("digits", _share(len(raw) - len(raw.translate(None, b"0123456789")), n)), ("lines", _share(raw.count(b"\n"), n))]
     signs = len(raw) - len(raw.translate(None, _SIGNS))
     traits.append(("signs", _share(signs, n)))
     if signs:
@@ -165,39 +176,24 @@ class CoTraining:
         self.combine = np.array([1.0, 0.0, 0.0])
         self.constant: float | None = 0.5
 
-    def fit(self, text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool_text: list[np.ndarray], pool_meta: list[np.ndarray], rounds: int = ROUNDS) -> "CoTraining":
-        """y: 0 or 1; held: labelled documents kept for calibration."""
-        train = np.flatnonzero(~held)
-        if not len(train) or len(np.unique(y[train])) < 2:
-            self.constant = float(y.mean()) if len(y) else 0.5
-            return self
-        self.constant = None
-        share = y[train].mean()
-        gained: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-        pools = {"text": pool_text, "meta": pool_meta}
-        views = {"text": (self.text, text), "meta": (self.meta, meta)}
-        for r in range(rounds + 1):
-            for name, (view, rows) in views.items():
-                extra = gained[name]
-                view.train([rows[i] for i in train] + [pools[name][i] for i in extra], np.concatenate([y[train], np.fromiter(extra.values(), float, len(extra))]))
-            if r == rounds or not pool_text:
-                break
-            for name, other in (("text", "meta"), ("meta", "text")):
-                view = views[name][0]
-                p = sigmoid(view.raw(view.pack(pools[name])))
-                most = HAND_OVER * len(p)
-                for label, sure, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                    best = np.argsort(-sure, kind="stable")[: int(np.ceil(most * part))]
-                    for i in best[sure[best] >= SURE].tolist():
-                        gained[other].setdefault(i, label)
-        check = np.flatnonzero(held) if held.any() and len(np.unique(y[held])) == 2 else train
+    def train(self, rows: dict[str, list[np.ndarray]], y: np.ndarray, gained: dict[str, dict]) -> None:
+        """Both views on the labelled rows and on what the other view has handed over."""
+        for name, view in self.views.items():
+            extra = list(gained[name].values())
+            view.train(rows[name] + [x for x, _ in extra], np.concatenate([y, np.array([label for _, label in extra], float)]))
+
+    def combine_views(self, rows: dict[str, list[np.ndarray]], y: np.ndarray) -> None:
+        """Calibrates the views on labelled rows and finds the weights that combine them."""
         logits = []
-        for view, rows in views.values():
-            raw = view.raw(view.pack([rows[i] for i in check]))
-            view.a, view.b = fit_logistic(raw[:, None], y[check])
+        for name, view in self.views.items():
+            raw = view.raw(View.pack(rows[name]))
+            view.a, view.b = fit_logistic(raw[:, None], y)
             logits.append(view.a * raw + view.b)
-        self.combine = fit_logistic(np.column_stack(logits), y[check])
-        return self
+        self.combine = fit_logistic(np.column_stack(logits), y)
+
+    @property
+    def views(self) -> dict[str, View]:
+        return {"text": self.text, "meta": self.meta}
 
     def score(self, text: list[np.ndarray], meta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view and the metadata view, and the combined score."""
@@ -217,30 +213,116 @@ def _features(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]
     return text, meta
 
 
+def _packed(rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.astype("<i4").tobytes() for x in rows], pa.binary())
+
+
+def _unpacked(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") for x in column]
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, meta = _features(batch)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("good"), batch.column("held"), pa.array([x.astype("<i4").tobytes() for x in text], pa.binary()), pa.array([x.astype("<i4").tobytes() for x in meta], pa.binary())],
-            ["good", "held", "text", "meta"])
+        for a in range(0, batch.num_rows, 1000):
+            few = batch.slice(a, 1000)
+            text, meta = _features(few)
+            yield pa.RecordBatch.from_arrays([few.column("good"), few.column("part"), few.column("lot"), _packed(text), _packed(meta)], ["good", "part", "lot", "text", "meta"])
+
+
+def _sureness(shared):
+    """For each view and label the bin of sureness of every document, -1 for those not sure enough."""
+    models = shared.value
+    lowest = np.log(SURE / (1 - SURE))
 
+    def bins(batch: pa.RecordBatch) -> Iterator[tuple[str, float, np.ndarray]]:
+        for name, view in models.views.items():
+            raw = view.raw(View.pack(_unpacked(batch.column(name).to_pylist())))
+            for label, sure in ((1.0, raw), (0.0, -raw)):
+                yield name, label, np.where(sure >= lowest, np.minimum((sure - lowest) * 16, BINS - 1), -1).astype(np.int64)
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTraining:
+    return bins
+
+
+def _histogram(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, total = _sureness(shared), {}
+        for batch in batches:
+            for name, label, b in bins(batch):
+                total[name, label] = total.get((name, label), 0) + np.bincount(b[b >= 0], minlength=BINS)
+        rows = [(name, label, int(i), int(n[i])) for (name, label), n in total.items() for i in np.flatnonzero(n)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))], ["view", "label", "bin", "n"])
+
+    return run
+
+
+def _handed(shared, cuts: dict):
+    """The documents above the cut of a view and label, and the drawn share of those in its bin."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, other = _sureness(shared), {"text": "meta", "meta": "text"}
+        for batch in batches:
+            lot = batch.column("lot").to_numpy()
+            for name, label, b in bins(batch):
+                if (name, label) in cuts:
+                    cut, share = cuts[name, label]
+                    take = pa.array(np.flatnonzero((b > cut) | (b == cut) & (lot < share * (1 << 20))))
+                    n = len(take)
+                    yield pa.RecordBatch.from_arrays([pa.array([other[name]] * n, pa.string()), pa.array([label] * n, pa.float64()), batch.column("lot").take(take), batch.column(other[name]).take(take)], ["view", "label", "lot", "features"])
+
+    return run
+
+
+def _cuts(histogram: list, share: float, handed: int) -> dict:
+    """Bin of each view and label from which the surest are handed over, and the share of it."""
+    out = {}
+    for name in ("text", "meta"):
+        for label, part in ((1.0, share), (0.0, 1 - share)):
+            left, n = int(np.ceil(handed * part)), {r.bin: r.n for r in histogram if (r.view, r.label) == (name, label)}
+            for b in sorted(n, reverse=True):
+                out[name, label] = (b, min(1.0, left / n[b]))
+                left -= n[b]
+                if left <= 0:
+                    break
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED, rounds: int = ROUNDS) -> CoTraining:
     """docs: doc_id, text, lang, source, n_chars; labels: doc_id, quality, toxic."""
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
-    n_known, n_all = known.count(), docs.count()
-    lot = F.pmod(F.xxhash64(F.lit("co-training"), "doc_id"), F.lit(1 << 20)).cast("double") / (1 << 20)
-    # Both samples are drawn by the id before any text moves.
-    few = known.where(lot < min(1.0, labelled / max(1, n_known)))
-    ids = docs.select("doc_id").where(lot < min(1.0, 2.0 * (labelled + pool) / max(1, n_all)))
-    spare = ids.join(known, "doc_id", "left_anti").where(F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, pool / max(1, labelled + pool))))
-    wanted = few.unionByName(spare.distinct().select("doc_id", F.lit(None).cast("int").alias("good")))
-    rows = docs.select("doc_id", *_INPUT).join(wanted, "doc_id").select("good", (remainder(F.col("doc_id"), 5) == 1).alias("held"), *_INPUT)
-    found = rows.mapInArrow(_featurise, "good int, held boolean, text binary, meta binary").toPandas()
-    load = lambda c, f: [np.frombuffer(x, "<i4") for x in f[c]]
-    lab, free = found[found["good"].notna()], found[found["good"].isna()]
-    return CoTraining().fit(load("text", lab), load("meta", lab), lab["good"].to_numpy(float), lab["held"].to_numpy(bool), load("text", free), load("meta", free), rounds)
+    lot = F.pmod(F.xxhash64(F.lit("co-training"), "doc_id"), F.lit(1 << 20))
+    limit = int((1 << 20) * min(1.0, labelled / max(1, known.count())))
+    few = known.where(lot < limit)  # drawn by the id before any text moves
+    part = remainder(F.col("doc_id"), 5)
+    rows = docs.select("doc_id", *_INPUT).where(part != 1).join(few, "doc_id", "left")
+    rows = rows.where(F.col("good").isNotNull() | (part != 3)).select("good", part.alias("part"), F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(1 << 20)).alias("lot"), *_INPUT)
+    features = written(rows.mapInArrow(_featurise, "good int, part bigint, lot bigint, text binary, meta binary"), "features")
+    own = features.where("good is not null").toPandas()  # bounded by the sample
+    train, check = own[own["part"] != 3], own[own["part"] == 3]
+    load = lambda f: {c: _unpacked(f[c]) for c in ("text", "meta")}
+    y = train["good"].to_numpy(float)
+    model = CoTraining()
+    if len(np.unique(y)) < 2:
+        both = own["good"].to_numpy(float)
+        model.constant = float(both.mean()) if len(both) else 0.5
+        return model
+    model.constant = None
+    pool, gained = features.where("good is null"), {"text": {}, "meta": {}}
+    context = docs.sparkSession.sparkContext
+    for r in range(rounds + 1):
+        model.train(load(train), y, gained)
+        if r < rounds:
+            shared = context.broadcast(model)
+            counts = pool.mapInArrow(_histogram(shared), "view string, label double, bin bigint, n bigint").groupBy("view", "label", "bin").agg(F.sum("n").alias("n")).collect()
+            cuts = _cuts(counts, float(y.mean()), handed)
+            if cuts:  # about ``handed`` rows for each view
+                found = pool.mapInArrow(_handed(shared, cuts), "view string, label double, lot bigint, features binary").toPandas()
+                for view, label, place, x in sorted(zip(found["view"], found["label"], found["lot"], found["features"])):
+                    gained[view].setdefault((place, x), (np.frombuffer(x, "<i4"), label))
+            shared.destroy()
+    y_check = check["good"].to_numpy(float)
+    use = check if len(np.unique(y_check)) == 2 else train
+    model.combine_views(load(use), use["good"].to_numpy(float))
+    return model
 
 
 def score(docs: DataFrame, model: CoTraining) -> DataFrame:

@@ -114,6 +114,31 @@ def test_language_against_plain(spark):
     assert few.langs == ["x", "y", "z"] and few.predict(["uno", "die", None])[0] == ["x", "y", "und"] and (few.cover > 0).all()
 
 
+def plain_cotraining(rows, labels):
+    """The rounds with all rows at hand; every sure document is handed over, as fewer than HANDED are."""
+    crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5
+    good: dict = {}
+    for d, q, toxic in labels:
+        if q is not None:
+            good[d] = min(good.get(d, 1), int(q == 1 and not toxic))
+    make = lambda r: {"text": cotraining.text_features(r[1]), "meta": cotraining.meta_features(*r[2:5])}
+    train = [(make(r), good[r[0]]) for r in rows if r[0] in good and r[0] is not None and crc(r[0]) not in (1, 3)]
+    check = [(make(r), good[r[0]]) for r in rows if r[0] in good and r[0] is not None and crc(r[0]) == 3]
+    pool = [make(r) for r in rows if (r[0] is None or r[0] not in good) and crc(r[0]) not in (1, 3)]
+    model, gained = cotraining.CoTraining(), {"text": {}, "meta": {}}
+    model.constant = None
+    split = lambda part: {c: [x[c] for x, _ in part] for c in ("text", "meta")}
+    for r in range(cotraining.ROUNDS + 1):
+        model.train(split(train), np.array([y for _, y in train], float), gained)
+        for name, other in (("text", "meta"), ("meta", "text")) if r < cotraining.ROUNDS else ():
+            for k, x in enumerate(pool):
+                p = cotraining.sigmoid(model.views[name].raw(cotraining.View.pack([x[name]])))[0]
+                if max(p, 1 - p) >= cotraining.SURE:
+                    gained[other].setdefault(k, (x[other], float(p > 0.5)))
+    model.combine_views(split(check), np.array([y for _, y in check], float))
+    return model
+
+
 def test_cotraining(spark, docs):
     r = random.Random(5)
     junk = [(2000 + i, text(i, 40).replace(" ", "$$$ ") if i % 2 else text(i, 40) + " moron idiot", "en", "bad", 5) for i in range(60)]
@@ -122,7 +147,15 @@ def test_cotraining(spark, docs):
     labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0 if i % 2 else 1) for i, *_ in junk] + [(i, 1, None) for i, *_ in good] + [(9, None, 1), (3000, 1, 0)], "doc_id bigint, quality int, toxic int")
     found = {x.row.doc_id: x.score for x in cotraining.score(table, cotraining.fit(table, labels)).collect()}
     assert np.mean([found[i] < 0.5 for i, *_ in junk]) > 0.9 and np.mean([found[i] >= 0.5 for i, *_ in good]) > 0.9
+    held = [i for i in found if zlib.crc32(str(i).encode()) % 5 == 1 and i and i >= 2000]
+    assert held and np.mean([(found[i] >= 0.5) == (i >= 3000) for i in held]) > 0.9
     assert {x.score for x in cotraining.score(docs, cotraining.fit(docs, labels.limit(0))).collect()} == {0.5}
+    # Against one machine's view of the same rounds: all of the pool is scored, the surest go over.
+    alone = plain_cotraining([tuple(x) for x in table.collect()], [tuple(x) for x in labels.collect()])
+    text_, meta = zip(*[(cotraining.text_features(x[1]), cotraining.meta_features(*x[2:5])) for x in table.collect()])
+    assert np.allclose(alone.score(list(text_), list(meta))[2], [found[x.doc_id] for x in table.collect()], atol=1e-6)
+    odd = docs.withColumns({n: F.lit(1) for n in ("row", "good", "part", "lot", "meta", "p_text", "key")})
+    assert cotraining.score(odd, cotraining.fit(odd, labels)).select("row.*").columns == odd.columns
     assert cotraining.score(docs.limit(0), cotraining.fit(docs, labels)).count() == 0
 
 

@@ -13,6 +13,8 @@ WEIGHTS = {"similarity": 0.35, "confidence": 0.30, "structure": 0.25, "conflict"
 AUTO_INSERT, REVIEW = 0.72, 0.55
 CONTEXT = 60
 SENT = 10
+#: Runs whose lengths are summed together.
+BLOCK = 64
 #: Confidence and class of a reply that leaves them out.
 DEFAULT_CONFIDENCE, DEFAULT_CLASS = 0.5, "Entity"
 
@@ -21,11 +23,15 @@ def span_candidates(docs: DataFrame, text: str = "text", digits: bool = False, l
     """Tokens that begin with a capital (or, with ``digits``, are all digits), with exact offsets and
     context: pos, span, start, end, context. Offsets add up the lengths of the runs before a token."""
     runs = F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\s*)(\S+)"), 0)
-    rows = docs.select("*", F.posexplode(runs).alias("pos", "_run"))
-    # Lengths are summed within the document's own array, without a shuffle.
-    before = docs.select("*", runs.alias("_runs")).withColumn("_ends", F.expr(
-        "aggregate(_runs, cast(array(0) as array<int>), (acc, r) -> concat(acc, array(element_at(acc, -1) + length(r))))"))
-    rows = before.select(*docs.columns, F.posexplode(F.arrays_zip(F.col("_runs").alias("run"), F.slice("_ends", 2, F.size("_runs")).alias("end"))).alias("pos", "_r"))
+    # Lengths are summed within the document's own array, without a shuffle, in two levels (the ends
+    # of blocks of runs, then of the runs of each), as adding to an array copies it.
+    ends = lambda lengths, first: F.slice(F.aggregate(lengths, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), 2, F.size(lengths))
+    firsts = F.sequence(F.lit(0), F.greatest(F.floor((F.size("_runs") - 1) / BLOCK), F.lit(0)).cast("int"))
+    blocks = F.transform(firsts, lambda i: F.transform(F.slice("_runs", i * BLOCK + 1, F.lit(BLOCK)), lambda r: F.length(r)))
+    sums = F.transform("_blocks", lambda b: F.aggregate(b, F.lit(0), lambda s, n: s + n))
+    placed = F.transform(F.arrays_zip(F.col("_blocks").alias("b"), ends(sums, F.lit(0)).alias("end")), lambda z: ends(z["b"], z["end"] - F.aggregate(z["b"], F.lit(0), lambda s, n: s + n)))
+    before = docs.select("*", runs.alias("_runs")).select("*", blocks.alias("_blocks"))
+    rows = before.select(*docs.columns, F.posexplode(F.arrays_zip(F.col("_runs").alias("run"), F.flatten(placed).alias("end"))).alias("pos", "_r"))
     span = F.regexp_replace(F.col("_r.run"), r"(?U)^\s+", "")
     rows = rows.select(*docs.columns, "pos", span.alias("span"), (F.col("_r.end") - F.length(span)).alias("start"), F.col("_r.end").alias("end"))
     wanted = F.rlike("span", F.lit(r"^\p{Lu}"))

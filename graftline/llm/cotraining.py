@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: in
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
     lot = F.pmod(F.xxhash64(F.lit("co-training"), "doc_id"), F.lit(1 << 20))
     limit = int((1 << 20) * min(1.0, labelled / max(1, known.count())))
-    few = known.where(lot < limit)  # drawn by the id before any text moves
+    few = F.broadcast(known.where(lot < limit))  # about ``labelled`` ids, drawn by a hash: no text moves
     part = remainder(F.col("doc_id"), 5)
     rows = docs.select("doc_id", *_INPUT).where(part != 1).join(few, "doc_id", "left")
     rows = rows.where(F.col("good").isNotNull() | (part != 3)).select("good", part.alias("part"), F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(1 << 20)).alias("lot"), *_INPUT)

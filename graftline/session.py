@@ -50,8 +50,18 @@ def ship(spark: SparkSession) -> None:
     sc._graftline_shipped = True
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a local folder is seen by all."""
+    master = spark.sparkContext.master or ""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's own ``spark.checkpoint.dir`` holds; only where none is set a local one is made."""
+    """The session's own ``spark.checkpoint.dir`` holds; only where none is set and all runs in one
+    process a local one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="graftline-checkpoints-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not one_machine(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="graftline-checkpoints-"))

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import one_machine
+
 #: ASCII white space that separates words in the operators' word rule ``[^\x20\x09-\x0D]+``.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -20,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a local folder is made and set.
+    Only where it is unset and all runs in one process (tests) a local folder is made and set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not one_machine(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = "file://" + os.path.join(tempfile.gettempdir(), "graftline-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -56,12 +56,20 @@ def one_machine(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's own ``spark.checkpoint.dir`` holds; only where none is set and all runs in one
-    process a local one is made."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors see: the session's own ``spark.checkpoint.dir``. Only where none is
+    set and all runs in one process a local one is made."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not one_machine(spark):
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="graftline-checkpoints-"))
+        found = "file://" + tempfile.mkdtemp(prefix="graftline-checkpoints-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Lets ``checkpoint()`` write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -3,46 +3,73 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.text import gold_edges, is_out_of_kb, split_pipe, strip
 from ..operators.hierarchy import Hierarchy
+from . import files
 
 
-def resolve_sources(path: str) -> list[str]:
+def resolve_sources(path: str, spark: SparkSession | None = None) -> list[str]:
     """The file itself, else its numbered parts in order; the whole file wins over parts."""
-    p = Path(path)
-    if p.exists():
-        return [str(p)]
-    parts = sorted(p.parent.glob(f"{p.stem}_part_*{p.suffix}"))
+    spark = spark or SparkSession.active()
+    if files.exists(spark, path):
+        return [path]
+    folder, name = files.split_path(path)
+    stem, dot, suffix = name.rpartition(".")
+    stem, suffix = (stem, dot + suffix) if stem else (name, "")
+    parts = [f"{folder}/{n}" for n in files.names(spark, folder) if n.startswith(f"{stem}_part_") and n.endswith(suffix)]
     if not parts:
-        raise FileNotFoundError(f"neither {p} nor {p.stem}_part_*{p.suffix} in {p.parent}")
-    return [str(x) for x in parts]
+        raise FileNotFoundError(f"neither {path} nor {stem}_part_*{suffix} in {folder}")
+    return parts
 
 
-def find_file(folder: str, suffix: str) -> str:
+def find_file(folder: str, suffix: str, spark: SparkSession | None = None) -> str:
     """First file of a folder, by name, that ends with the suffix."""
-    found = sorted(str(f) for f in Path(folder).iterdir() if f.name.endswith(suffix))
+    found = [n for n in files.names(spark or SparkSession.active(), folder) if n.endswith(suffix)]
     if not found:
         raise FileNotFoundError(f"no *{suffix} in {folder}")
-    return found[0]
+    return f"{folder.rstrip('/')}/{found[0]}"
+
+
+# The folders of a dataset and the stems of its files.
+FOLDERS = {"ontology": "ontology", "mentions": "mention-level-(concept-placement)", "pairs": "mention-edge-pair-level"}
+MENTION_FILES = {"train": "train", "valid": "valid", "valid_nil": "valid-NIL", "test_nil": "test-NIL", "test_nil_all": "test-NIL-all", "test_in_kb": "test-in-KB"}
+PAIR_FILES = {"train": "train", "valid": "valid", "valid_nil": "valid-NIL", "test_nil": "test-NIL", "test_nil_all": "test-NIL-all"}
 
 
 def dataset_paths(root: str, dataset: str) -> dict[str, str]:
     """Where the files of a dataset lie."""
-    base = Path(root) / dataset
-    placed = base / "mention-level-(concept-placement)"
-    pairs = base / "mention-edge-pair-level"
-    onto = base / "ontology"
-    out = {"root": base, "ontology": onto, "mentions": placed, "pairs": pairs}
-    out |= {f"mention_{n}": placed / f"{f}.jsonl" for n, f in (("train", "train"), ("valid", "valid"), ("valid_nil", "valid-NIL"), ("test_nil", "test-NIL"), ("test_nil_all", "test-NIL-all"), ("test_in_kb", "test-in-KB"))}
-    out |= {f"pair_{n}": pairs / f"{f}.jsonl" for n, f in (("train", "train"), ("valid", "valid"), ("valid_nil", "valid-NIL"), ("test_nil", "test-NIL"), ("test_nil_all", "test-NIL-all"))}
-    return {k: str(v) for k, v in out.items()}
+    base = f"{root.rstrip('/')}/{dataset}"
+    out = {"root": base} | {k: f"{base}/{v}" for k, v in FOLDERS.items()}
+    for kind, folder, stems in (("mention", "mentions", MENTION_FILES), ("pair", "pairs", PAIR_FILES)):
+        out |= {f"{kind}_{k}": f"{out[folder]}/{v}.jsonl" for k, v in stems.items()}
+    return out
+
+
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(ord, value): the lines that aren't blank, without byte order marks, numbered through all files.
+
+    Lines are numbered within their block of a file by the task that reads it, and blocks by counts per
+    block, a small table: no line is shuffled or sorted. Both passes must cut files into the same
+    blocks; where they don't, the query fails.
+    """
+    block = F.struct(F.col("_part"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    lines = None
+    for i, p in enumerate(paths):
+        one = spark.read.text(p).withColumn("_part", F.lit(i)).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), block.alias("_block"))
+        lines = one if lines is None else lines.unionByName(one)
+    lines = lines.where(strip("value") != "").withColumn("_at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # a row per block
+    blocks = blocks.select("_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = lines.join(F.broadcast(blocks), "_block", "left")
+    failed = F.raise_error(F.lit("files were cut into other blocks while lines were numbered")).cast("bigint")
+    return placed.select(F.coalesce(F.col("_before") + F.col("_at") - F.col("_first"), failed).alias("ord"), "value")
 
 
 def read_rows(spark: SparkSession, path: str, schema: T.StructType, ordered: bool = False) -> DataFrame:
@@ -50,16 +77,10 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType, ordered: boo
 
     ``ordered`` adds ``ord``, the place of a row over all part files.
     """
-    paths = resolve_sources(path)
+    paths = resolve_sources(path, spark)
     if not ordered:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
-    lines = None
-    for i, p in enumerate(paths):
-        one = spark.read.text(p).select(F.lit(i).alias("_part"), F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("_line"))
-        lines = one if lines is None else lines.unionByName(one)
-    kept = lines.where(strip("value") != "").rdd.map(tuple).sortBy(lambda r: (r[0], r[2])).zipWithIndex().map(lambda x: (x[1], x[0][1]))
-    numbered = spark.createDataFrame(kept, "ord bigint, value string")
-    parsed = numbered.select("ord", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    parsed = numbered_lines(spark, paths).select("ord", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("ord", "r.*")
 
 
@@ -85,9 +106,9 @@ def read_edges(spark: SparkSession, path: str, direct_only: bool = False) -> Dat
 def read_hierarchy(spark: SparkSession, folder: str, edge_catalogue: str = "all") -> Hierarchy:
     """Entities and edges of an ontology folder. A title comes from the entity itself, else from the
     first row that names it as a neighbour or an end of an edge."""
-    entities = read_entities(spark, find_file(folder, "_syn_attr_hyp-all.jsonl"))
-    atomic = read_edges(spark, find_file(folder, "-edges-atomic.jsonl"), direct_only=True)
-    catalogue = read_edges(spark, find_file(folder, "-edges-all.jsonl")) if edge_catalogue == "all" else atomic
+    entities = read_entities(spark, find_file(folder, "_syn_attr_hyp-all.jsonl", spark))
+    atomic = read_edges(spark, find_file(folder, "-edges-atomic.jsonl", spark), direct_only=True)
+    catalogue = read_edges(spark, find_file(folder, "-edges-all.jsonl", spark)) if edge_catalogue == "all" else atomic
     near = lambda ids, names, rank: entities.where(F.size(ids) == F.size(names)).select("ord", F.explode(F.arrays_zip(F.col(ids).alias("i"), F.col(names).alias("t"))).alias("z")).select(F.col("z.i").alias("id"), F.col("z.t").alias("title"), F.lit(rank).alias("rank"), "ord")
     ends = lambda e, i, t, rank: e.select(F.col(i).alias("id"), F.col(t).alias("title"), F.lit(rank).alias("rank"), F.lit(0).cast("bigint").alias("ord"))
     named = entities.select("id", "title", F.lit(0).alias("rank"), "ord")
@@ -109,7 +130,7 @@ def _parsed_mentions(rows: DataFrame, name: str) -> DataFrame:
 
 def read_mentions(spark: SparkSession, path: str, out_of_kb_only: bool = False) -> DataFrame:
     """Mention rows; ids count the rows before the filter, through all part files."""
-    found = _parsed_mentions(read_rows(spark, path, schemas.MENTION, ordered=True), Path(path).name)
+    found = _parsed_mentions(read_rows(spark, path, schemas.MENTION, ordered=True), files.split_path(path)[1])
     return found.where("out_of_kb") if out_of_kb_only else found
 
 
@@ -139,7 +160,7 @@ def read_dataset(spark: SparkSession, root: str, dataset: str, split_mode: str =
     return hierarchy, {"train": pooled.where("split = 'train'"), "valid": pooled.where("split = 'valid'"), "test_nil": pooled.where("split = 'test'")}
 
 
-# Sample lines that stand in for a missing text file.
+# Sample lines that stand in for a missing text file.
 SAMPLE_LINES = (
     "The patient was diagnosed with acute renal failure after surgery.",
     "Cystic fibrosis affects the lungs and the digestive system.",
@@ -151,15 +172,14 @@ SAMPLE_LINES = (
 
 def read_lines(spark: SparkSession, path: str | None, n: int) -> DataFrame:
     """First n non-blank lines as (doc_id, text); without a file the sample lines in turn."""
-    if path and Path(path).exists():
-        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), strip("value").alias("text")).where("text <> ''").orderBy("_at").limit(n)
-        return lines.rdd.map(lambda r: r.text).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("doc_id bigint, text string")
+    if path and files.exists(spark, path):
+        return numbered_lines(spark, [path]).where(F.col("ord") < n).select(F.col("ord").alias("doc_id"), strip("value").alias("text"))
     pick = F.element_at(F.array(*[F.lit(s) for s in SAMPLE_LINES]), (F.col("id") % len(SAMPLE_LINES) + 1).cast("int"))
     return spark.range(n).select(F.col("id").alias("doc_id"), pick.alias("text"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.DOCUMENT).option("mode", "FAILFAST").json(resolve_sources(path))
+    return spark.read.schema(schemas.DOCUMENT).option("mode", "FAILFAST").json(resolve_sources(path, spark))
 
 
 def read_classes(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
@@ -170,6 +190,8 @@ def read_classes(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, s
     return classes, dict(mapping[0] or {}) if mapping else {}
 
 
-def read_prompts(folder: str) -> dict[str, str]:
+def read_prompts(folder: str, spark: SparkSession | None = None) -> dict[str, str]:
     """Templates by language, from ``prompt_<language>.txt``."""
-    return {m[1]: f.read_text(encoding="utf-8") for f in sorted(Path(folder).glob("prompt_*.txt")) if (m := re.fullmatch(r"prompt_(\w+)\.txt", f.name))}
+    spark = spark or SparkSession.active()
+    found = [m for n in files.names(spark, folder) if (m := re.fullmatch(r"prompt_(\w+)\.txt", n))]
+    return {m[1]: files.read_text(spark, f"{folder.rstrip('/')}/{m[0]}") for m in found}

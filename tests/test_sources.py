@@ -24,6 +24,58 @@ def test_parts_in_order_with_bom_and_blanks(spark, tmp_path):
         jsonl.resolve_sources(str(tmp_path / "y.jsonl"))
 
 
+def test_numbers_hold_over_many_blocks(spark, tmp_path):
+    for part, first in (("a_part_1", 0), ("a_part_2", 700)):
+        write(tmp_path / f"{part}.jsonl", [{"parent_idx": str(i), "child_idx": "x" * (i % 90)} for i in range(first, first + 700)], bom=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        rows = jsonl.read_rows(spark, str(tmp_path / "a.jsonl"), EDGE, ordered=True)
+        assert rows.rdd.getNumPartitions() > 4
+        assert all(r.ord == int(r.parent_idx) for r in rows.collect()) and rows.count() == 1400
+        lines = jsonl.read_lines(spark, str(tmp_path / "a_part_1.jsonl"), 300).collect()
+        assert {r.doc_id: json.loads(r.text.lstrip("\ufeff"))["parent_idx"] for r in lines} == {i: str(i) for i in range(300)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_paths_lines_documents_classes_prompts(spark, tmp_path):
+    where = jsonl.dataset_paths("/data", "set")
+    assert where["ontology"] == "/data/set/ontology" and where["pair_valid_nil"].endswith("/mention-edge-pair-level/valid-NIL.jsonl")
+    (tmp_path / "lines.txt").write_text("one\n\n  two \nthree\n")
+    assert sorted(tuple(r) for r in jsonl.read_lines(spark, str(tmp_path / "lines.txt"), 2).collect()) == [(0, "one"), (1, "two")]
+    write(tmp_path / "d.jsonl", [{"doc_id": "d", "text": "Big cat", "language": "en", "entities": [{"start": 0, "end": 3, "type": "X", "text": "Big"}]}])
+    assert jsonl.read_documents(spark, str(tmp_path / "d.jsonl")).first().entities[0].end == 3
+    (tmp_path / "c.json").write_text(json.dumps({"classes": {"Cat": {"parent": "Animal"}, "Animal": {}}, "entity_type_mapping": {"X": "Cat"}}))
+    classes, mapping = jsonl.read_classes(spark, str(tmp_path / "c.json"))
+    assert {tuple(r) for r in classes.collect()} == {("Cat", "Animal"), ("Animal", None)} and mapping == {"X": "Cat"}
+    (tmp_path / "prompt_en.txt").write_text("Say {x}")
+    (tmp_path / "prompt_kk.txt").write_text("Айт {x}", encoding="utf-8")
+    (tmp_path / "other.txt").write_text("no")
+    assert jsonl.read_prompts(str(tmp_path)) == {"en": "Say {x}", "kk": "Айт {x}"}
+
+
+def test_dataset_modes(spark, tmp_path):
+    where = jsonl.dataset_paths(str(tmp_path), "s")
+    for k in ("ontology", "mentions", "pairs"):
+        (tmp_path / where[k]).mkdir(parents=True)
+    onto = tmp_path / where["ontology"]
+    write(onto / "o_syn_attr_hyp-all.jsonl", [{"idx": "A", "title": "a"}])
+    write(onto / "o-edges-atomic.jsonl", [{"parent_idx": "A", "child_idx": NULL_ID, "degree": 0}])
+    write(onto / "o-edges-all.jsonl", [{"parent_idx": "A", "child_idx": NULL_ID, "degree": 0}])
+    row = lambda i: {"mention": f"m{i}", "label_concept": "SCTID-less", "label_concept_ori": str(i), "parents_concept": "A"}
+    for k in ("train", "valid", "valid_nil", "test_nil"):
+        write(tmp_path / where[f"mention_{k}"], [row(1), {**row(2), "label_concept": "9"}])
+    write(tmp_path / where["mention_test_nil_all"], [row(i) for i in range(20)])
+    _, native = jsonl.read_dataset(spark, str(tmp_path), "s")
+    assert {k: v.count() for k, v in native.items()} == {"train": 2, "valid": 2, "valid_nil": 1, "test_nil": 1}
+    _, cut = jsonl.read_dataset(spark, str(tmp_path), "s", split_mode="resplit")
+    assert {k: v.count() for k, v in cut.items()} == {"train": 14, "valid": 3, "test_nil": 3}
+    with pytest.raises(ValueError):
+        jsonl.read_dataset(spark, str(tmp_path), "s", split_mode="other")
+
+
 def test_malformed_line_fails(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"parent_idx": "1", "child_idx": "2"}\n{oops\n')
     with pytest.raises(Exception):

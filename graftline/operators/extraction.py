@@ -50,7 +50,8 @@ def labelled_spans(docs: DataFrame) -> DataFrame:
     """Given entities (start, end, type) as candidates, the text cut by their offsets; the first of them count."""
     e = docs.select("*", F.posexplode(F.slice("entities", 1, SENT)).alias("pos", "e"))
     low = F.greatest(F.col("e.start") - CONTEXT, F.lit(0))
-    return e.select("doc_id", "pos", F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("span"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.type").alias("entity_type"),
+    kept = [c for c in docs.columns if c not in ("text", "entities")]
+    return e.select(*kept, "pos", F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("span"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.type").alias("entity_type"),
                     F.substring(F.col("text"), low + 1, F.least(F.col("e.end") + CONTEXT, F.length("text")) - low).alias("context"))
 
 
@@ -92,12 +93,49 @@ def fill_template(template: str, **fields: Column) -> Column:
     return F.concat(*made) if made else F.lit("")
 
 
+def fill_by_language(templates: dict[str, str], of: Column, default: str = "en", /, **fields: Column) -> Column:
+    """The template of the language, else the default language's, else nothing, with its fields filled."""
+    out = fill_template(templates.get(default, ""), **fields)
+    for name, template in templates.items():
+        if name != default:
+            out = F.when(of == name, fill_template(template, **fields)).otherwise(out)
+    return out
+
+
+#: Parts that the values of a group are cut into for order statistics.
+PARTS = 64
+
+
+def order_statistics(rows: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Exact values at 1-based ranks of each group, by name; a rank is given in terms of ``n``. Rows
+    without a value don't count.
+
+    Approximate quantiles cut a group into parts, equal values are counted together, and only parts that
+    hold a rank are sorted, so no task sorts or holds a whole group.
+    """
+    rows = rows.select(by, value).where(F.col(value).isNotNull())
+    cuts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 10_000).alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c <= F.col(value))).alias("_part")
+    tally = rows.join(cuts, by).groupBy(by, value, part).agg(F.count(F.lit(1)).alias("_n"))
+    parts = tally.groupBy(by, "_part").agg(F.sum("_n").alias("_all"))
+    before = F.sum("_all").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # at most PARTS rows
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).join(cuts.select(by, "n"), by)
+    inside = lambda rank, low, size: (rank > low) & (rank <= low + size)
+    held = F.lit(False)
+    for rank in ranks.values():
+        held = held | inside(rank, F.col("_before"), F.col("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    ranked = tally.join(parts.where(held), [by, "_part"]).withColumn("_low", upto - F.col("_n"))
+    return ranked.groupBy(by).agg(*[F.max(F.when(inside(rank, F.col("_low"), F.col("_n")), F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
 def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """n, mean, median, p95 (the sorted value at floor(0.95 n) - 1, the only one of one) and throughput per group."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    p95 = F.max(F.when(F.col("_i") == F.greatest(F.floor(F.col("_n") * 0.95), F.lit(1)), F.col(value)))
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), p95.alias("p95"),
-                                  F.coalesce(F.try_divide(F.count(F.lit(1)), F.sum(value)), F.lit(0.0)).alias("throughput"))
+    """n, mean, median, p95 (the sorted value at floor(0.95 n) - 1, the only one of one) and throughput per
+    group, of the rows with a value."""
+    n = F.col("n")
+    places = order_statistics(rows, by, value, {"_a": F.floor((n + 1) / 2), "_b": F.floor(n / 2) + 1, "p95": F.greatest(F.floor(n * 0.95), F.lit(1))})
+    sums = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.try_divide(F.count(F.lit(1)), F.sum(value)), F.lit(0.0)).alias("throughput"))
+    return sums.join(places, by).select(by, "n", "mean", ((F.col("_a") + F.col("_b")) / 2).alias("median"), "p95", "throughput")
 
 
 def reduction(part: Column, whole: Column) -> Column:

@@ -53,7 +53,8 @@ def main(argv: list[str] | None = None) -> int:
         mentions = both.select(F.concat_ws("/", "split", "mention_id").alias("mention_id"), "split", "gold_edges")
         gold = jsonl.gold_table(mentions)
         depth = depths(gold.select(F.col("parent_id").alias("id")), hierarchy.concepts, hierarchy.par)
-        splits.statistics_table(splits.dataset_statistics(mentions.drop("gold_edges"), gold, depth, hierarchy.par, hierarchy.ch, "split")).show(truncate=False)
+        stats = splits.dataset_statistics(mentions.drop("gold_edges"), gold, depth, hierarchy.par, hierarchy.ch, "split")
+        print(sinks.statistics_report(stats, sinks.hierarchy_counts(hierarchy), list(parts)))
         return 0
     vectors = None
     if a.retriever != "inverted_index":

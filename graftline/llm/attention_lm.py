@@ -33,6 +33,7 @@ import copy
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,9 @@ ROUND_BATCH = 256
 TABLES = 32
 #: Words with at least this share of all tokens are broadcast, so at most its inverse of them.
 HEAD_SHARE = 1e-6
-#: Windows scored at once.
+#: Windows scored at once, and those that go through attention at once.
 WINDOWS = 2048
+FEW = 64
 
 
 def _exp_sum(x: np.ndarray) -> np.ndarray:
@@ -231,39 +233,46 @@ class AttentionModel:
                 out[rows] += inner[np.arange(len(rows)), m[rows]] - _exp_sum(inner)
         return out
 
-    def fast_states(self, x: np.ndarray) -> np.ndarray:
-        """``states`` without what training needs, in few passes over small arrays."""
+    def fixed(self) -> dict[str, np.ndarray]:
+        """What ``score`` derives from the parameters. With one head, queries and keys meet as
+        H (Wq Wk') X', and values leave as X (Wv Wo), so that keys and values come by symbol and place."""
+        p = self.p
+        d = p["Wq"].shape[0]
+        both = np.concatenate([p["Wk"] @ p["Wq"].T * np.float32(d**-0.5), p["Wv"] @ p["Wo"]], 1)
+        return {"E": p["E"] @ both, "P": p["P"] @ both, "W1": np.concatenate([p["W1"], p["b1"][None]]), "Wc": np.concatenate([p["Wc"], p["bc"][None]]),
+                "Wm": np.concatenate([p["Wm"], p["bm"][:, None]], 1)}
+
+    def fast_states(self, x: np.ndarray, fixed: dict[str, np.ndarray], out: np.ndarray) -> None:
+        """``states`` without what training needs, in few passes over small arrays; ``out`` ends in a column of ones."""
         p, n, lead = self.p, len(x), self.lead
         d = p["Wq"].shape[0]
-        X = p["E"][x] + p["P"]
-        kv = (X.reshape(-1, d) @ self._kv).reshape(n, self.length, 2 * d)
-        H = np.ascontiguousarray(X[:, lead:]).reshape(-1, d)
-        q = (H @ self._q).reshape(n, -1, d)
-        a = np.matmul(q, kv[:, :, :d].transpose(0, 2, 1))
+        kv = fixed["E"].take(x, 0)
+        kv += fixed["P"]
+        H = p["E"].take(x[:, lead:], 0)
+        H += p["P"][lead:]
+        a = np.matmul(H, kv[:, :, :d].transpose(0, 2, 1))
         a += self.mask
-        if (x[:, :lead] == self.pad).any():  # paddings at the end are masked as later inputs already
-            a += np.where(x == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
+        begun = np.flatnonzero(x[:, 0] == self.pad)  # paddings at the end are masked as later inputs already
+        if len(begun):
+            a[begun] += np.where(x[begun] == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
         np.exp(a, out=a)
         weight = a.reshape(-1, self.length) @ np.ones(self.length, np.float32)
         o = np.matmul(a, kv[:, :, d:]).reshape(-1, d)
         o /= weight[:, None]
-        H += o @ p["Wo"]
-        z = H @ p["W1"]
-        z += p["b1"]
+        o += H.reshape(-1, d)
+        out[:, :d] = o
+        z = out @ fixed["W1"]
         np.maximum(z, 0, out=z)
-        H += z @ p["W2"]
-        return H
+        out[:, :d] += z @ p["W2"]
 
-    def score(self, ids: list[np.ndarray]) -> np.ndarray:
+    def score(self, ids: list[np.ndarray], fixed: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """log10 probability of each id sequence (each with the end id last).
 
         Exponentials are taken of the plain logits: trained ones are far below the overflow at 88,
         and should one not be, the batch is scored again the slow way.
         """
-        p = self.p
+        p, fixed = self.p, fixed or self.fixed()
         d = p["Wq"].shape[0]
-        self._q = p["Wq"] * np.float32(d**-0.5)
-        self._kv = np.ascontiguousarray(np.concatenate([p["Wk"], p["Wv"]], 1))
         total = np.zeros(len(ids))
         symbols = [self.symbol[s] for s in ids]
         for i, (s, raw) in enumerate(zip(symbols, ids)):
@@ -271,94 +280,161 @@ class AttentionModel:
             if rare.any():
                 total[i] += self.rest_log[raw[rare]].sum()
         x, t, owner = self.windows(symbols)
-        ones = np.ones(self.members, np.float32)
-        few = 64
+        each, ones = self.length - self.lead, np.ones(max(self.members, self.classes), np.float32)
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             for a in range(0, len(x), WINDOWS):
                 goal = t[a : a + WINDOWS].reshape(-1)
-                y = np.empty((len(goal), d), np.float32)
+                y = np.ones((len(goal), d + 1), np.float32)
                 logs = np.empty(len(goal), np.float32)
-                each = self.length - self.lead
-                c, m = goal // self.members, goal % self.members
-                for b in range(0, len(goal) // each, few):
-                    part = self.fast_states(x[a + b : min(a + b + few, a + WINDOWS)])
-                    at = slice(b * each, b * each + len(part))
-                    y[at] = part
-                    logits = part @ p["Wc"]
-                    logits += p["bc"]
-                    chosen = logits[np.arange(len(part)), c[at]]
+                aims = np.maximum(goal, 0).astype(np.intp)
+                c, m = aims // self.members, aims % self.members
+                for b in range(0, len(goal) // each, FEW):
+                    at = slice(b * each, (b + FEW) * each)
+                    self.fast_states(x[a + b : min(a + b + FEW, a + WINDOWS)].astype(np.intp), fixed, y[at])
+                    logits = y[at] @ fixed["Wc"]
+                    chosen = logits.reshape(-1).take(np.arange(len(logits)) * self.classes + c[at])
                     np.exp(logits, out=logits)
-                    logs[at] = chosen - np.log(logits @ np.ones(self.classes, np.float32))
-                order = np.argsort(np.where(goal >= 0, c, self.classes).astype(np.int16), kind="stable")
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(np.where(goal >= 0, c, self.classes), minlength=self.classes + 1))])
+                    logs[at] = chosen - np.log(logits @ ones[: self.classes])
+                real = np.flatnonzero(goal >= 0)
+                order = real.take(np.argsort(c.take(real).astype(np.int16), kind="stable"))
+                ys, ms, inside = y.take(order, 0), m.take(order), np.empty(len(order), np.float32)
+                cuts = np.searchsorted(c.take(order), np.arange(self.classes + 1)).tolist()
                 for k in range(self.classes):
-                    rows = order[cuts[k] : cuts[k + 1]]
-                    if len(rows):
-                        inner = y[rows] @ p["Wm"][k]
-                        inner += p["bm"][k]
-                        chosen = inner[np.arange(len(rows)), m[rows]]
+                    rows = slice(cuts[k], cuts[k + 1])
+                    if cuts[k] < cuts[k + 1]:
+                        inner = ys[rows] @ fixed["Wm"][k]
+                        chosen = inner.reshape(-1).take(np.arange(len(inner)) * self.members + ms[rows])
                         np.exp(inner, out=inner)
-                        logs[rows] += chosen - np.log(inner @ ones)
-                real = goal >= 0
-                if not np.isfinite(logs[real]).all():
+                        inside[rows] = chosen - np.log(inner @ ones[: self.members])
+                logs[order] += inside
+                if not np.isfinite(logs.take(real)).all():
                     logs[real] = self.log_probabilities(self.states(x[a : a + WINDOWS])[0].reshape(-1, d)[real], goal[real])
                 whose = np.repeat(owner[a : a + WINDOWS], each)
-                total += np.bincount(whose[real], logs[real], len(ids)) / np.log(10)
+                total += np.bincount(whose.take(real), logs.take(real), len(ids)) / np.log(10)
         return total
 
     # -- training --------------------------------------------------------------------------------
-    def gradients(self, x: np.ndarray, goal: np.ndarray) -> tuple[dict, float]:
-        p = self.p
-        y3, s = self.states(x)
-        real = goal >= 0
-        y, t = y3[real], goal[real]
-        n = len(t)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        c, m = t // self.members, t % self.members
-        logits = y @ p["Wc"] + p["bc"]
-        e = np.exp(logits - logits.max(-1, keepdims=True))
-        e /= e.sum(-1, keepdims=True)
-        loss = -np.log(np.maximum(e[np.arange(n), c], 1e-20)).sum()
-        e[np.arange(n), c] -= 1
-        e /= n
-        g["Wc"], g["bc"] = y.T @ e, e.sum(0)
-        dy = e @ p["Wc"].T
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                inner = y[rows] @ p["Wm"][k] + p["bm"][k]
-                f = np.exp(inner - inner.max(-1, keepdims=True))
-                f /= f.sum(-1, keepdims=True)
-                r = np.arange(len(rows))
-                loss -= np.log(np.maximum(f[r, m[rows]], 1e-20)).sum()
-                f[r, m[rows]] -= 1
-                f /= n
-                g["Wm"][k], g["bm"][k] = y[rows].T @ f, f.sum(0)
-                dy[rows] += f @ p["Wm"][k].T
-        dy3 = np.zeros_like(y3)
-        dy3[real] = dy
-        d = y3.shape[-1]
-        flat = lambda w: w.reshape(-1, w.shape[-1])
-        dz = (dy3 @ p["W2"].T) * (s["z"] > 0)
-        g["W2"] = flat(s["z"]).T @ flat(dy3)
-        g["W1"], g["b1"] = flat(s["h"]).T @ flat(dz), flat(dz).sum(0)
-        dh = dy3 + dz @ p["W1"].T
-        g["Wo"] = flat(s["o"]).T @ flat(dh)
-        do = dh @ p["Wo"].T
-        da = np.matmul(do, s["v"].transpose(0, 2, 1))
-        dv = np.matmul(s["a"].transpose(0, 2, 1), do)
-        da = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True)) * np.float32(d**-0.5)
-        dq, dk = np.matmul(da, s["k"]), np.matmul(da.transpose(0, 2, 1), s["q"])
-        H = s["X"][:, self.lead :]
-        g["Wq"], g["Wk"], g["Wv"] = flat(H).T @ flat(dq), flat(s["X"]).T @ flat(dk), flat(s["X"]).T @ flat(dv)
-        dX = dk @ p["Wk"].T + dv @ p["Wv"].T
-        dX[:, self.lead :] += dh + dq @ p["Wq"].T
-        np.add.at(g["E"], x, dX)
-        g["P"] = dX.sum(0)
+    def gradients(self, x: np.ndarray, goal: np.ndarray, careful: bool = False) -> tuple[dict, float]:
+        """Gradients of the mean loss, and that loss.
+
+        As in ``score``, exponentials are taken of the plain logits; should one overflow, all is done
+        again with the maxima subtracted (``careful``). ``FEW`` windows at once, so that what lies
+        between two products stays in the cache; the rows of a class lie side by side.
+        """
+        p, lead, length, members = self.p, self.lead, self.length, self.members
+        d, kind = p["Wq"].shape[0], np.result_type(*p.values())
+        scale = np.float32(d**-0.5)
+        M, V = p["Wq"] @ p["Wk"].T * scale, p["Wv"] @ p["Wo"]  # as in ``fixed``
+        dM, dV, W1 = np.zeros(M.shape, kind), np.zeros(V.shape, kind), np.concatenate([p["W1"], p["b1"][None]])
+        gW1 = np.zeros(W1.shape, kind)
+        each, x = length - lead, x.astype(np.intp)
+        places, ones = np.flatnonzero(goal >= 0), np.ones(max(length, members, self.classes), kind)
+        t = goal.reshape(-1).take(places)
+        order = np.argsort((t // members).astype(np.int16), kind="stable")
+        places, t = places.take(order), t.take(order)
+        n, c, m = len(t), t // members, t % members
+        g = {k: np.zeros(v.shape, kind) for k, v in p.items()}
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            y, kept = np.empty((goal.size, d + 1), kind), []
+            y[:, d] = 1  # for the biases
+            for b in range(0, len(x), FEW):
+                part = x[b : b + FEW]
+                X = p["E"].take(part, 0)
+                X += p["P"]
+                v = (X.reshape(-1, d) @ V).reshape(X.shape)
+                H = np.ascontiguousarray(X[:, lead:]).reshape(-1, d)
+                q = (H @ M).reshape(len(part), each, d)
+                a = np.matmul(q, X.transpose(0, 2, 1))
+                a += self.mask
+                begun = np.flatnonzero(part[:, 0] == self.pad)
+                if len(begun):
+                    a[begun] += np.where(part[begun] == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
+                if careful:
+                    a -= a.max(-1, keepdims=True)
+                np.exp(a, out=a)
+                weight = (a.reshape(-1, length) @ ones[:length])[:, None]
+                o = np.matmul(a, v).reshape(-1, d)
+                o /= weight
+                h = np.empty((len(o), d + 1), kind)
+                h[:, d] = 1
+                np.add(H, o, out=h[:, :d])
+                z = h @ W1
+                np.maximum(z, 0, out=z)
+                np.add(z @ p["W2"], h[:, :d], out=y[b * each : b * each + len(h), :d])
+                kept.append((X, H, q, v, a, weight, o, h, z))
+            y = y.take(places, 0)
+            dy, loss = np.empty((n, d), kind), 0.0
+            W, gW = np.concatenate([p["Wc"], p["bc"][None]]), np.zeros((d + 1, self.classes), kind)
+            for b in range(0, n, FEW * each):
+                rows = slice(b, b + FEW * each)
+                e = y[rows] @ W
+                loss += self._less_one(e, c[rows], n, ones, careful)
+                gW += y[rows].T @ e
+                np.matmul(e, p["Wc"].T, out=dy[rows])
+            g["Wc"], g["bc"] = gW[:d], gW[d]
+            cuts = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
+            W, f = np.concatenate([p["Wm"], p["bm"][:, None]], 1), np.empty((n, members), kind)
+            found = [(k, slice(u, v)) for k, (u, v) in enumerate(zip(cuts, cuts[1:])) if u < v]
+            for k, rows in found:
+                np.matmul(y[rows], W[k], out=f[rows])
+            for b in range(0, n, FEW * each):
+                rows = slice(b, b + FEW * each)
+                loss += self._less_one(f[rows], m[rows], n, ones, careful)
+            gW = np.zeros_like(W)
+            for k, rows in found:
+                np.matmul(y[rows].T, f[rows], out=gW[k])
+                dy[rows] += f[rows] @ p["Wm"][k].T
+            g["Wm"], g["bm"] = gW[:, :d], gW[:, d]
+            back = np.zeros((goal.size, d), kind)
+            back[places] = dy
+            dE = np.empty((d, x.size))
+            for i, (X, H, q, v, a, weight, o, h, z) in enumerate(kept):
+                w, dy = len(X), back[i * FEW * each : (i + 1) * FEW * each]
+                g["W2"] += z.T @ dy
+                dz = dy @ p["W2"].T
+                dz *= z > 0
+                gW1 += h.T @ dz
+                dh = dz @ p["W1"].T
+                dh += dy
+                do = (dh / weight).reshape(w, each, d)
+                da = np.matmul(do, v.transpose(0, 2, 1))
+                da -= np.einsum("ij,ij->i", do.reshape(-1, d), o).reshape(w, each, 1)
+                da *= a
+                dv = np.matmul(a.transpose(0, 2, 1), do).reshape(-1, d)
+                dV += X.reshape(-1, d).T @ dv
+                dX = (dv @ V.T).reshape(X.shape)
+                dX += np.matmul(da.transpose(0, 2, 1), q)
+                dq = np.matmul(da, X).reshape(-1, d)
+                dM += H.T @ dq
+                dh += dq @ M.T
+                dX[:, lead:] += dh.reshape(w, each, d)
+                g["P"] += dX.sum(0)
+                dE[:, i * FEW * length : i * FEW * length + w * length] = dX.reshape(-1, d).T
+            g["W1"], g["b1"] = gW1[:d], gW1[d]
+            dM *= scale
+            g["Wq"], g["Wk"], g["Wv"], g["Wo"] = dM @ p["Wk"], dM.T @ p["Wq"], dV @ p["Wo"].T, p["Wv"].T @ dV
+            spots, rows = x.reshape(-1), len(p["E"])
+            for j in range(d):
+                g["E"][:, j] = np.bincount(spots, dE[j], rows)
+        if not careful and not (np.isfinite(loss) and all(np.isfinite(g[k]).all() for k in ("P", "Wq", "Wk", "Wv"))):
+            return self.gradients(x, goal, True)
         return g, float(loss) / max(n, 1)
 
+    @staticmethod
+    def _less_one(e: np.ndarray, target: np.ndarray, n: int, ones: np.ndarray, careful: bool) -> float:
+        """Turns logits in place to their gradients of a mean over n; returns the summed loss."""
+        if careful:
+            e -= e.max(-1, keepdims=True)
+        at = np.arange(len(e)) * e.shape[1] + target
+        flat = e.reshape(-1)
+        chosen = flat.take(at)
+        np.exp(e, out=e)
+        sums = e @ ones[: e.shape[1]]
+        loss = (np.log(sums) - chosen).sum(dtype=np.float64)
+        e *= (1 / (sums * n))[:, None]
+        flat[at] -= 1 / n
+        return float(loss)
+
     def train(self, sequences: list[np.ndarray], passes: int | None = None, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> list[float]:
         """Adam over the windows of the symbol sequences; returns the mean loss of every pass."""
         if not sequences:
@@ -379,10 +455,6 @@ class AttentionModel:
         return losses
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
-
-
 def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -560,40 +632,51 @@ def _score(shared, dtype: np.dtype):
 
         model, hashes, logs = shared.value
         digest = xxhash.xxh3_64_intdigest
-        known: dict[str, float] = {}  # log10(c + 0.5) of head words met so far, NaN for others
+        fixed = model.fixed()
+        known: dict[bytes, float] = {}  # log10(c + 0.5) of head words met so far, NaN for others
         end = float(logs[np.searchsorted(hashes, np.uint64(digest(b"")))]) if len(hashes) else float(np.log10(0.5))
         uid = TaskContext.get().partitionId() << 33
-        pairs = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+        pairs = pa.struct([("h", pa.int64()), ("n", pa.int64())])
+
+        def logs_of(words: list[bytes]) -> np.ndarray:
+            nonlocal known
+            v = np.fromiter(map(known.get, words, repeat(-1.0)), np.float64, len(words))  # c is at least 1, so no log is -1
+            at = np.flatnonzero(v == -1.0).tolist()
+            if at:
+                new = list({words[i] for i in at})
+                if len(known) + len(new) > 500_000:
+                    known = {}
+                h = np.fromiter(map(digest, new), np.uint64, len(new))
+                place = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+                found = dict(zip(new, (np.where(hashes[place] == h, logs[place], np.nan) if len(hashes) else np.full(len(h), np.nan)).tolist()))
+                v[at] = [found[words[i]] for i in at]
+                known.update(found)
+            return v
+
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 few = batch.slice(a, 64)
-                words = [words_of(t) for t in few.column("text").to_pylist()]
-                scores = model.score(_sequences(few.column("ids"), dtype, model.end))
-                new = list({w for ws in words for w in ws if w not in known})
-                if len(known) + len(new) > 500_000:
-                    known = {}
-                    new = list({w for ws in words for w in ws})
-                h = np.array([digest(w.encode("utf-8", "surrogatepass")) for w in new], np.uint64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    values = np.where(hashes[at] == h, logs[at], np.nan)
-                else:
-                    values = np.full(len(h), np.nan)
-                known.update(zip(new, values.tolist()))
-                n_known, head, tails = [], [], []
-                for ws in words:
-                    v = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
-                    other = np.isnan(v)
-                    n_known.append(int(len(ws) - other.sum()) + (1 if len(hashes) else 0))
-                    head.append(float(v[~other].sum()) + end)
-                    tail: dict[int, int] = {}
-                    for i in np.flatnonzero(other).tolist():
-                        tail[ws[i]] = tail.get(ws[i], 0) + 1
-                    tails.append([{"h": x, "n": n} for x, n in zip(np.array([digest(w.encode("utf-8", "surrogatepass")) for w in tail], np.uint64).view(np.int64).tolist(), tail.values())])
+                n, words, sizes = few.num_rows, [], []
+                for t in few.column("text").to_pylist():
+                    own = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                    words += own
+                    sizes.append(len(own))
+                scores = model.score(_sequences(few.column("ids"), dtype, model.end), fixed)
+                v, owner = logs_of(words), np.repeat(np.arange(n), sizes)
+                other = np.isnan(v)
+                n_known = np.bincount(owner[~other], minlength=n) + (1 if len(hashes) else 0)
+                head = np.bincount(owner[~other], v[~other], n) + end
+                rare = np.flatnonzero(other)
+                h = np.fromiter((digest(words[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64)
+                order = np.lexsort((h, owner[rare]))
+                h, owner = h[order], owner[rare][order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)])
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(n + 1)), pa.int32()),
+                                                 pa.StructArray.from_arrays([pa.array(h[first], pa.int64()), pa.array(np.diff(first, append=len(h)), pa.int64())], fields=list(pairs)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + few.num_rows)), few.column("id"), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(n_known, pa.int64()), pa.array(head), pa.array(scores), pa.array(tails, pairs)],
+                    [pa.array(np.arange(uid, uid + n)), few.column("id"), pa.array(np.array(sizes, np.int64) + 1), pa.array(n_known, pa.int64()), pa.array(head), pa.array(scores), tails],
                     [f.split()[0] for f in ("uid", "doc_id", "n_tokens", "head_known", "head_log", "score", "tail")])
-                uid += few.num_rows
+                uid += n
 
     return run
 

@@ -3,6 +3,7 @@ columns whose names clash."""
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -187,6 +188,49 @@ def test_attention_model():
         assert (up - down) / 2e-4 == pytest.approx(g[k][i], rel=0.05, abs=1e-4)
 
 
+def test_attention_cost_and_overflow():
+    # The gradients of one batch of a round against the plain way forward: before 2.3 to 2.4 times that, now 1.2 to 1.4.
+    m = attention_lm.AttentionModel(5000)
+    rng = np.random.default_rng(2)
+    texts = [np.append(rng.zipf(1.3, 400) % 5000, 5000) for _ in range(20)]
+    m.arrange(np.concatenate(texts))
+    x, t, _ = m.windows([m.symbol[s] for s in texts])
+    x, t, times = x[:256], t[:256], []
+    for _ in range(20):
+        begin = time.thread_time()
+        m.log_probabilities(m.states(x)[0][t >= 0], t[t >= 0])
+        middle = time.thread_time()
+        m.gradients(x, t)
+        times.append((middle - begin, time.thread_time() - middle))
+    forward, whole = map(min, zip(*times))
+    assert whole < 1.85 * forward
+    # Every parameter's gradient by differences.
+    s = attention_lm.AttentionModel(50, classes=4, members=4, width=6, hidden=5, length=8, lead=3)
+    ids = [np.append(rng.integers(0, 50, n), 50) for n in (0, 1, 4, 5, 6, 30)]
+    s.arrange(np.concatenate(ids))
+    x, t, _ = s.windows([s.symbol[i] for i in ids])
+    s.p = {k: v.astype(np.float64) for k, v in s.p.items()}
+    g, loss = s.gradients(x, t)
+    for k, v in s.p.items():
+        for i in np.argsort(-np.abs(g[k]).ravel())[:3]:
+            at = np.unravel_index(i, v.shape)
+            keep = v[at]
+            v[at] = keep + 1e-5
+            up = s.gradients(x, t)[1]
+            v[at] = keep - 1e-5
+            assert (up - s.gradients(x, t)[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-4, abs=1e-8)
+            v[at] = keep
+    # The careful way gives the same, and takes over where exponentials overflow.
+    same, loss_ = s.gradients(x, t, careful=True)
+    assert loss_ == pytest.approx(loss) and all(np.allclose(g[k], same[k]) for k in g)
+    for k in ("Wc", "Wq"):
+        large = attention_lm.AttentionModel(50, classes=4, members=4, width=6, hidden=5, length=8, lead=3)
+        large.symbol = s.symbol
+        large.p[k] *= np.float32(5000)
+        g, loss = large.gradients(x, t)
+        assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values()) and np.isfinite(large.score(ids)).all()
+
+
 def test_attention_scores(spark, docs, rows):
     held = langid.remainder(F.col("doc_id"), 5) == 1
     found = attention_lm.score_documents(docs.select("doc_id", "text"), ~held, passes=1, head_share=0.01).collect()

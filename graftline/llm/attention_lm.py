@@ -33,7 +33,6 @@ import copy
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .langid import remainder
 from .subwords import encoder
+from .words import END, HashTable, hashed_words
 
 CLASSES = 64
 MEMBERS = 64
@@ -69,9 +69,14 @@ ROUND_BATCH = 256
 TABLES = 32
 #: Words with at least this share of all tokens are broadcast, so at most its inverse of them.
 HEAD_SHARE = 1e-6
+#: Different words that a task counts before it hands the counts on, at most.
+WORDS = 500_000
 #: Windows scored at once, and those that go through attention at once.
 WINDOWS = 2048
-FEW = 64
+FEW = 32
+#: Rows whose logits are made at once, about, and parameters that Adam changes at once.
+HEAD_ROWS = 768
+ADAM = 1 << 14
 
 
 def _exp_sum(x: np.ndarray) -> np.ndarray:
@@ -80,6 +85,15 @@ def _exp_sum(x: np.ndarray) -> np.ndarray:
     return (np.log(np.exp(x - m).sum(-1, keepdims=True)) + m)[..., 0]
 
 
+def _room(space: dict, name, shape: tuple, kind=np.float32) -> np.ndarray:
+    """An array of the shape, with any content, in memory that ``space`` keeps between batches: new
+    memory for each would cost more time than what is computed in it."""
+    size, key = math.prod(shape), (name, np.dtype(kind))
+    if key not in space or space[key].size < size:
+        space[key] = np.empty(size, kind)
+    return space[key][:size].reshape(shape)
+
+
 class Adam:
     """Changes the parameters ``p`` in place."""
 
@@ -91,11 +105,21 @@ class Adam:
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
         scale = np.float32(rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
-        for k, first in self.first.items():
-            second = self.second[k]
-            first += np.float32(0.1) * (g[k] - first)
-            second += np.float32(0.01) * (g[k] * g[k] - second)
-            self.p[k] -= scale * first / (np.sqrt(second) + np.float32(1e-8))
+        for k in self.first:
+            whole = [v.reshape(-1) for v in (self.p[k], g[k], self.first[k], self.second[k])]
+            for a in range(0, whole[0].size, ADAM):  # a stretch at a time, which stays in the cache
+                p, now, first, second = (v[a : a + ADAM] for v in whole)
+                t = now - first
+                t *= np.float32(0.1)
+                first += t
+                np.multiply(now, now, out=t)
+                t -= second
+                t *= np.float32(0.01)
+                second += t
+                np.sqrt(second, out=t)
+                t += np.float32(1e-8)
+                np.divide(scale * first, t, out=t)
+                p -= t
 
 
 class AttentionModel:
@@ -233,46 +257,101 @@ class AttentionModel:
                 out[rows] += inner[np.arange(len(rows)), m[rows]] - _exp_sum(inner)
         return out
 
-    def fixed(self) -> dict[str, np.ndarray]:
-        """What ``score`` derives from the parameters. With one head, queries and keys meet as
-        H (Wq Wk') X', and values leave as X (Wv Wo), so that keys and values come by symbol and place."""
-        p = self.p
-        d = p["Wq"].shape[0]
-        both = np.concatenate([p["Wk"] @ p["Wq"].T * np.float32(d**-0.5), p["Wv"] @ p["Wo"]], 1)
-        return {"E": p["E"] @ both, "P": p["P"] @ both, "W1": np.concatenate([p["W1"], p["b1"][None]]), "Wc": np.concatenate([p["Wc"], p["bc"][None]]),
-                "Wm": np.concatenate([p["Wm"], p["bm"][:, None]], 1)}
-
-    def fast_states(self, x: np.ndarray, fixed: dict[str, np.ndarray], out: np.ndarray) -> None:
-        """``states`` without what training needs, in few passes over small arrays; ``out`` ends in a column of ones."""
-        p, n, lead = self.p, len(x), self.lead
-        d = p["Wq"].shape[0]
-        kv = fixed["E"].take(x, 0)
-        kv += fixed["P"]
-        H = p["E"].take(x[:, lead:], 0)
-        H += p["P"][lead:]
-        a = np.matmul(H, kv[:, :, :d].transpose(0, 2, 1))
+    def fixed(self, space: dict | None = None) -> dict[str, np.ndarray]:
+        """What is derived from the parameters. With one head, queries and keys meet as H (Wq Wk') X',
+        and values leave as (A X) (Wv Wo). All states have a last column of ones, for the biases and
+        the sums of attention; where it must not count, its weights are 0. The logits of the classes
+        and of a class's members are made together."""
+        p, (d, n) = self.p, self.p["W1"].shape
+        kind = np.result_type(*p.values())
+        shapes = {"E": (len(p["E"]), d + 1), "P": (self.length, d + 1), "M": (d + 1, d + 1), "V": (d + 1, d + 1), "W1": (d + 1, n), "W2": (n, d + 1), "W": (self.classes, d + 1, self.classes + self.members)}
+        out = {k: _room({} if space is None else space, ("fixed", k), shape, kind) for k, shape in shapes.items()}
+        for k in ("P", "M", "V", "W2"):
+            out[k][:] = 0
+        out["E"][:, d], out["W1"][:d], out["W1"][d] = 1, p["W1"], p["b1"]
+        out["E"][:, :d], out["P"][:, :d], out["W2"][:, :d] = p["E"], p["P"], p["W2"]
+        out["M"][:d, :d], out["V"][:d, :d] = p["Wq"] @ p["Wk"].T * np.float32(d**-0.5), p["Wv"] @ p["Wo"]
+        out["W"][:, :d, : self.classes], out["W"][:, d, : self.classes] = p["Wc"], p["bc"]
+        out["W"][:, :d, self.classes :], out["W"][:, d, self.classes :] = p["Wm"], p["bm"]
+        return out
+
+    def _forward(self, part: np.ndarray, fixed: dict[str, np.ndarray], y: np.ndarray, space: dict, slot: int = 0, careful: bool = False) -> tuple:
+        """``states`` into ``y``, in few passes over arrays that stay in the cache."""
+        lead, length, each, w = self.lead, self.length, self.length - self.lead, len(part)
+        d, kind = fixed["E"].shape[1], fixed["E"].dtype
+        room = lambda name, *shape: _room(space, (name, slot), shape, kind)
+        X, H = room("X", w, length, d), room("H", w, each, d)
+        fixed["E"].take(part, 0, out=X, mode="clip")
+        X += fixed["P"]
+        H[:] = X[:, lead:]
+        H = H.reshape(-1, d)
+        q = np.matmul(H, fixed["M"], out=room("q", len(H), d)).reshape(w, each, d)
+        a = np.matmul(q, X.transpose(0, 2, 1), out=room("a", w, each, length))
         a += self.mask
-        begun = np.flatnonzero(x[:, 0] == self.pad)  # paddings at the end are masked as later inputs already
+        begun = np.flatnonzero(part[:, 0] == self.pad)  # paddings at the end are masked as later inputs already
         if len(begun):
-            a[begun] += np.where(x[begun] == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
+            a[begun] += np.where(part[begun] == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
+        if careful:
+            a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        weight = a.reshape(-1, self.length) @ np.ones(self.length, np.float32)
-        o = np.matmul(a, kv[:, :, d:]).reshape(-1, d)
-        o /= weight[:, None]
-        o += H.reshape(-1, d)
-        out[:, :d] = o
-        z = out @ fixed["W1"]
+        u = np.matmul(a, X, out=room("u", w, each, d)).reshape(-1, d)
+        weight = room("weight", len(u), 1)
+        weight[:] = 1
+        weight /= u[:, d - 1 :]
+        u *= weight
+        h = np.matmul(u, fixed["V"], out=room("h", len(u), d))
+        h += H
+        z = np.matmul(h, fixed["W1"], out=room("z", len(u), fixed["W1"].shape[1]))
         np.maximum(z, 0, out=z)
-        out[:, :d] += z @ p["W2"]
+        np.matmul(z, fixed["W2"], out=y)
+        y += h
+        return X, H, q, a, u, weight, h, z
 
-    def score(self, ids: list[np.ndarray], fixed: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    def _by_class(self, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, slice]]]]:
+        """Places of the targets and the targets, sorted by class, and the rows of each class in lots of about ``HEAD_ROWS``."""
+        places = np.flatnonzero(goal >= 0)
+        t = goal.reshape(-1).take(places)
+        c = (t // self.members).astype(np.int16)
+        order = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c.take(order), np.arange(self.classes + 1, dtype=np.int16)).tolist()
+        lots: list[list[tuple[int, slice]]] = []
+        for k, (u, v) in enumerate(zip(cuts, cuts[1:])):
+            if u < v:
+                if not lots or u - lots[-1][0][1].start >= HEAD_ROWS:
+                    lots.append([])
+                lots[-1].append((k, slice(u, v)))
+        return places.take(order), t.take(order).astype(np.intp), lots
+
+    def _logits(self, lot: list[tuple[int, slice]], y: np.ndarray, t: np.ndarray, W: np.ndarray, space: dict, careful: bool = False) -> tuple:
+        """Exponentials of the logits of classes and members of a lot's rows, their two sums, the places of
+        the targets' two, and the log probabilities."""
+        n, wide, from_ = lot[-1][1].stop - lot[0][1].start, self.classes + self.members, lot[0][1].start
+        e = _room(space, "e", (n, wide), W.dtype)
+        for k, rows in lot:
+            np.matmul(y[rows], W[k], out=e[rows.start - from_ : rows.stop - from_])
+        if careful:
+            e[:, : self.classes] -= e[:, : self.classes].max(-1, keepdims=True)
+            e[:, self.classes :] -= e[:, self.classes :].max(-1, keepdims=True)
+        at = np.empty((n, 2), np.intp)
+        at[:, 0], at[:, 1] = np.divmod(t[from_ : from_ + n], self.members)
+        at[:, 1] += self.classes
+        at += np.arange(0, n * wide, wide)[:, None]
+        logs = e.reshape(-1).take(at)
+        np.exp(e, out=e)
+        if "halves" not in space:
+            space["halves"] = np.repeat(np.eye(2, dtype=W.dtype), [self.classes, self.members], 0)
+        sums = e @ space["halves"]
+        logs -= np.log(sums)
+        return e, sums, at, logs[:, 0] + logs[:, 1]
+
+    def score(self, ids: list[np.ndarray], fixed: dict[str, np.ndarray] | None = None, space: dict | None = None) -> np.ndarray:
         """log10 probability of each id sequence (each with the end id last).
 
         Exponentials are taken of the plain logits: trained ones are far below the overflow at 88,
         and should one not be, the batch is scored again the slow way.
         """
-        p, fixed = self.p, fixed or self.fixed()
-        d = p["Wq"].shape[0]
+        fixed, space = self.fixed() if fixed is None else fixed, {} if space is None else space
+        d = fixed["E"].shape[1]
         total = np.zeros(len(ids))
         symbols = [self.symbol[s] for s in ids]
         for i, (s, raw) in enumerate(zip(symbols, ids)):
@@ -280,160 +359,106 @@ class AttentionModel:
             if rare.any():
                 total[i] += self.rest_log[raw[rare]].sum()
         x, t, owner = self.windows(symbols)
-        each, ones = self.length - self.lead, np.ones(max(self.members, self.classes), np.float32)
+        each = self.length - self.lead
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             for a in range(0, len(x), WINDOWS):
-                goal = t[a : a + WINDOWS].reshape(-1)
-                y = np.ones((len(goal), d + 1), np.float32)
-                logs = np.empty(len(goal), np.float32)
-                aims = np.maximum(goal, 0).astype(np.intp)
-                c, m = aims // self.members, aims % self.members
-                for b in range(0, len(goal) // each, FEW):
-                    at = slice(b * each, (b + FEW) * each)
-                    self.fast_states(x[a + b : min(a + b + FEW, a + WINDOWS)].astype(np.intp), fixed, y[at])
-                    logits = y[at] @ fixed["Wc"]
-                    chosen = logits.reshape(-1).take(np.arange(len(logits)) * self.classes + c[at])
-                    np.exp(logits, out=logits)
-                    logs[at] = chosen - np.log(logits @ ones[: self.classes])
-                real = np.flatnonzero(goal >= 0)
-                order = real.take(np.argsort(c.take(real).astype(np.int16), kind="stable"))
-                ys, ms, inside = y.take(order, 0), m.take(order), np.empty(len(order), np.float32)
-                cuts = np.searchsorted(c.take(order), np.arange(self.classes + 1)).tolist()
-                for k in range(self.classes):
-                    rows = slice(cuts[k], cuts[k + 1])
-                    if cuts[k] < cuts[k + 1]:
-                        inner = ys[rows] @ fixed["Wm"][k]
-                        chosen = inner.reshape(-1).take(np.arange(len(inner)) * self.members + ms[rows])
-                        np.exp(inner, out=inner)
-                        inside[rows] = chosen - np.log(inner @ ones[: self.members])
-                logs[order] += inside
-                if not np.isfinite(logs.take(real)).all():
-                    logs[real] = self.log_probabilities(self.states(x[a : a + WINDOWS])[0].reshape(-1, d)[real], goal[real])
-                whose = np.repeat(owner[a : a + WINDOWS], each)
-                total += np.bincount(whose.take(real), logs.take(real), len(ids)) / np.log(10)
+                goal = t[a : a + WINDOWS]
+                y = _room(space, "y", (goal.size, d))
+                for b in range(0, len(goal), FEW):
+                    self._forward(x[a + b : min(a + b + FEW, a + WINDOWS)].astype(np.intp), fixed, y[b * each : (b + FEW) * each], space)
+                places, aims, lots = self._by_class(goal)
+                ys = y.take(places, 0, out=_room(space, "ys", (len(places), d)), mode="clip")
+                logs = np.empty(len(places), np.float32)
+                for lot in lots:
+                    logs[lot[0][1].start : lot[-1][1].stop] = self._logits(lot, ys, aims, fixed["W"], space)[3]
+                if not np.isfinite(logs).all():
+                    logs = self.log_probabilities(self.states(x[a : a + WINDOWS])[0].reshape(-1, d - 1)[places], aims)
+                total += np.bincount(np.repeat(owner[a : a + WINDOWS], each).take(places), logs, len(ids)) / np.log(10)
         return total
 
     # -- training --------------------------------------------------------------------------------
-    def gradients(self, x: np.ndarray, goal: np.ndarray, careful: bool = False) -> tuple[dict, float]:
-        """Gradients of the mean loss, and that loss.
+    def gradients(self, x: np.ndarray, goal: np.ndarray, careful: bool = False, space: dict | None = None) -> tuple[dict, float]:
+        """Gradients of the mean loss, and that loss; ``space`` keeps memory between batches.
 
         As in ``score``, exponentials are taken of the plain logits; should one overflow, all is done
         again with the maxima subtracted (``careful``). ``FEW`` windows at once, so that what lies
         between two products stays in the cache; the rows of a class lie side by side.
         """
-        p, lead, length, members = self.p, self.lead, self.length, self.members
-        d, kind = p["Wq"].shape[0], np.result_type(*p.values())
-        scale = np.float32(d**-0.5)
-        M, V = p["Wq"] @ p["Wk"].T * scale, p["Wv"] @ p["Wo"]  # as in ``fixed``
-        dM, dV, W1 = np.zeros(M.shape, kind), np.zeros(V.shape, kind), np.concatenate([p["W1"], p["b1"][None]])
-        gW1 = np.zeros(W1.shape, kind)
-        each, x = length - lead, x.astype(np.intp)
-        places, ones = np.flatnonzero(goal >= 0), np.ones(max(length, members, self.classes), kind)
-        t = goal.reshape(-1).take(places)
-        order = np.argsort((t // members).astype(np.int16), kind="stable")
-        places, t = places.take(order), t.take(order)
-        n, c, m = len(t), t // members, t % members
-        g = {k: np.zeros(v.shape, kind) for k, v in p.items()}
+        space = {} if space is None else space
+        p, lead, length, fixed = self.p, self.lead, self.length, self.fixed(space)
+        d, kind = p["Wq"].shape[0], fixed["E"].dtype
+        x, each, wide = x.astype(np.intp), length - lead, d + 1
+        room = lambda name, *shape: _room(space, name, shape, kind)
+        places, t, lots = self._by_class(goal)
+        n, loss = len(t), 0.0
+        sums = {k: np.zeros(fixed[k].shape, kind) for k in ("P", "M", "V", "W1", "W2")}
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            y, kept = np.empty((goal.size, d + 1), kind), []
-            y[:, d] = 1  # for the biases
-            for b in range(0, len(x), FEW):
-                part = x[b : b + FEW]
-                X = p["E"].take(part, 0)
-                X += p["P"]
-                v = (X.reshape(-1, d) @ V).reshape(X.shape)
-                H = np.ascontiguousarray(X[:, lead:]).reshape(-1, d)
-                q = (H @ M).reshape(len(part), each, d)
-                a = np.matmul(q, X.transpose(0, 2, 1))
-                a += self.mask
-                begun = np.flatnonzero(part[:, 0] == self.pad)
-                if len(begun):
-                    a[begun] += np.where(part[begun] == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
-                if careful:
-                    a -= a.max(-1, keepdims=True)
-                np.exp(a, out=a)
-                weight = (a.reshape(-1, length) @ ones[:length])[:, None]
-                o = np.matmul(a, v).reshape(-1, d)
-                o /= weight
-                h = np.empty((len(o), d + 1), kind)
-                h[:, d] = 1
-                np.add(H, o, out=h[:, :d])
-                z = h @ W1
-                np.maximum(z, 0, out=z)
-                np.add(z @ p["W2"], h[:, :d], out=y[b * each : b * each + len(h), :d])
-                kept.append((X, H, q, v, a, weight, o, h, z))
-            y = y.take(places, 0)
-            dy, loss = np.empty((n, d), kind), 0.0
-            W, gW = np.concatenate([p["Wc"], p["bc"][None]]), np.zeros((d + 1, self.classes), kind)
-            for b in range(0, n, FEW * each):
-                rows = slice(b, b + FEW * each)
-                e = y[rows] @ W
-                loss += self._less_one(e, c[rows], n, ones, careful)
-                gW += y[rows].T @ e
-                np.matmul(e, p["Wc"].T, out=dy[rows])
-            g["Wc"], g["bc"] = gW[:d], gW[d]
-            cuts = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
-            W, f = np.concatenate([p["Wm"], p["bm"][:, None]], 1), np.empty((n, members), kind)
-            found = [(k, slice(u, v)) for k, (u, v) in enumerate(zip(cuts, cuts[1:])) if u < v]
-            for k, rows in found:
-                np.matmul(y[rows], W[k], out=f[rows])
-            for b in range(0, n, FEW * each):
-                rows = slice(b, b + FEW * each)
-                loss += self._less_one(f[rows], m[rows], n, ones, careful)
-            gW = np.zeros_like(W)
-            for k, rows in found:
-                np.matmul(y[rows].T, f[rows], out=gW[k])
-                dy[rows] += f[rows] @ p["Wm"][k].T
-            g["Wm"], g["bm"] = gW[:, :d], gW[:, d]
-            back = np.zeros((goal.size, d), kind)
+            y, kept = room("y", goal.size, wide), []
+            for i, b in enumerate(range(0, len(x), FEW)):
+                kept.append(self._forward(x[b : b + FEW], fixed, y[b * each : (b + FEW) * each], space, i, careful))
+            ys, dy, gW = y.take(places, 0, out=room("ys", n, wide), mode="clip"), room("dy", n, wide), room("gW", *fixed["W"].shape)
+            gW[:] = 0
+            for lot in lots:
+                e, both, at, logs = self._logits(lot, ys, t, fixed["W"], space, careful)
+                loss -= float(logs.sum(dtype=np.float64))
+                both *= n
+                np.divide(1, both, out=both)
+                if self.classes == self.members:
+                    e.reshape(-1, self.members)[:] *= both.reshape(-1, 1)
+                else:
+                    e *= both @ space["halves"].T
+                e.reshape(-1)[at] -= 1 / n
+                for k, rows in lot:
+                    own = e[rows.start - lot[0][1].start : rows.stop - lot[0][1].start]
+                    np.matmul(ys[rows].T, own, out=gW[k])
+                    np.matmul(own, fixed["W"][k].T, out=dy[rows])
+            back = y  # all of it is used
+            back[:] = 0
             back[places] = dy
-            dE = np.empty((d, x.size))
-            for i, (X, H, q, v, a, weight, o, h, z) in enumerate(kept):
-                w, dy = len(X), back[i * FEW * each : (i + 1) * FEW * each]
-                g["W2"] += z.T @ dy
-                dz = dy @ p["W2"].T
+            dX = room("dX", len(x), length, wide)
+            for i, (X, H, q, a, u, weight, h, z) in enumerate(kept):
+                w, at = len(X), slice(i * FEW, i * FEW + len(X))
+                dy = back[i * FEW * each : (i * FEW + w) * each]
+                sums["W2"] += z.T @ dy
+                dz = np.matmul(dy, fixed["W2"].T, out=room("dz", *z.shape))
                 dz *= z > 0
-                gW1 += h.T @ dz
-                dh = dz @ p["W1"].T
+                sums["W1"] += h.T @ dz
+                dh = np.matmul(dz, fixed["W1"].T, out=room("dh", *h.shape))
                 dh += dy
-                do = (dh / weight).reshape(w, each, d)
-                da = np.matmul(do, v.transpose(0, 2, 1))
-                da -= np.einsum("ij,ij->i", do.reshape(-1, d), o).reshape(w, each, 1)
+                sums["V"] += u.T @ dh
+                du = np.matmul(dh, fixed["V"].T, out=room("du", *h.shape))
+                du *= weight
+                du[:, d] = -np.einsum("ij,ij->i", du, u)  # was 0; meets the ones
+                du = du.reshape(q.shape)
+                da = np.matmul(du, X.transpose(0, 2, 1), out=room("da", *a.shape))
                 da *= a
-                dv = np.matmul(a.transpose(0, 2, 1), do).reshape(-1, d)
-                dV += X.reshape(-1, d).T @ dv
-                dX = (dv @ V.T).reshape(X.shape)
-                dX += np.matmul(da.transpose(0, 2, 1), q)
-                dq = np.matmul(da, X).reshape(-1, d)
-                dM += H.T @ dq
-                dh += dq @ M.T
-                dX[:, lead:] += dh.reshape(w, each, d)
-                g["P"] += dX.sum(0)
-                dE[:, i * FEW * length : i * FEW * length + w * length] = dX.reshape(-1, d).T
-            g["W1"], g["b1"] = gW1[:d], gW1[d]
-            dM *= scale
+                np.matmul(a.transpose(0, 2, 1), du, out=dX[at])
+                dX[at] += np.matmul(da.transpose(0, 2, 1), q, out=room("dk", *X.shape))
+                dq = np.matmul(da, X, out=du).reshape(-1, wide)
+                sums["M"] += H.T @ dq
+                dh += np.matmul(dq, fixed["M"].T, out=room("dH", *h.shape))
+                dX[at, lead:] += dh.reshape(w, each, wide)
+                sums["P"] += (np.ones(w, kind) @ dX[at].reshape(w, -1)).reshape(length, wide)
+            g = {"E": self._summed_rows(dX.reshape(-1, wide), x.reshape(-1), len(p["E"]), space)[:, :d], "P": sums["P"][:, :d], "W2": sums["W2"][:, :d], "W1": sums["W1"][:d], "b1": sums["W1"][d]}
+            dM, dV = sums["M"][:d, :d] * np.float32(d**-0.5), sums["V"][:d, :d]
             g["Wq"], g["Wk"], g["Wv"], g["Wo"] = dM @ p["Wk"], dM.T @ p["Wq"], dV @ p["Wo"].T, p["Wv"].T @ dV
-            spots, rows = x.reshape(-1), len(p["E"])
-            for j in range(d):
-                g["E"][:, j] = np.bincount(spots, dE[j], rows)
+            gc = gW[:, :, : self.classes].sum(0)
+            g["Wc"], g["bc"], g["Wm"], g["bm"] = gc[:d], gc[d], gW[:, :d, self.classes :], gW[:, d, self.classes :]
+            g = {k: np.ascontiguousarray(v) for k, v in g.items()}
         if not careful and not (np.isfinite(loss) and all(np.isfinite(g[k]).all() for k in ("P", "Wq", "Wk", "Wv"))):
-            return self.gradients(x, goal, True)
+            return self.gradients(x, goal, True, space)
         return g, float(loss) / max(n, 1)
 
     @staticmethod
-    def _less_one(e: np.ndarray, target: np.ndarray, n: int, ones: np.ndarray, careful: bool) -> float:
-        """Turns logits in place to their gradients of a mean over n; returns the summed loss."""
-        if careful:
-            e -= e.max(-1, keepdims=True)
-        at = np.arange(len(e)) * e.shape[1] + target
-        flat = e.reshape(-1)
-        chosen = flat.take(at)
-        np.exp(e, out=e)
-        sums = e @ ones[: e.shape[1]]
-        loss = (np.log(sums) - chosen).sum(dtype=np.float64)
-        e *= (1 / (sums * n))[:, None]
-        flat[at] -= 1 / n
-        return float(loss)
+    def _summed_rows(rows: np.ndarray, spots: np.ndarray, n: int, space: dict) -> np.ndarray:
+        """Sums of the rows of each symbol."""
+        out, side = _room(space, "summed", (n, rows.shape[1]), rows.dtype), _room(space, "sorted", rows.shape, rows.dtype)
+        order = np.argsort(spots.astype(np.int16), kind="stable")
+        own = spots.take(order)
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[:] = 0
+        out[own[first]] = np.add.reduceat(rows.take(order, 0, out=side, mode="clip"), first, 0)
+        return out
 
     def train(self, sequences: list[np.ndarray], passes: int | None = None, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> list[float]:
         """Adam over the windows of the symbol sequences; returns the mean loss of every pass."""
@@ -442,12 +467,13 @@ class AttentionModel:
         passes = passes or max(1, min(MAX_PASSES, -(-TRAIN_IDS // sum(map(len, sequences)))))
         x, t, _ = self.windows(sequences)
         rng, adam = np.random.default_rng(seed), Adam(self.p)
+        space: dict = {}
         losses, step, steps = [], 0, passes * -(-len(x) // batch)
         for _ in range(passes):
             order, sums = rng.permutation(len(x)), []
             for a in range(0, len(x), batch):
                 rows = order[a : a + batch]
-                g, loss = self.gradients(x[rows], t[rows])
+                g, loss = self.gradients(x[rows], t[rows], space=space)
                 sums.append(loss)
                 step += 1
                 adam.step(g, rate * min(1.0, step / 50) * (1 - 0.9 * step / (steps + 1)))
@@ -545,6 +571,7 @@ def _train_rows(shared, dtype: np.dtype, rate: float):
         model = copy.copy(shared.value)
         model.p = {k: v.copy() for k, v in model.p.items()}
         adam, rng = Adam(model.p), np.random.default_rng(11)
+        space: dict = {}
         waiting, n, trained = [], 0, 0
 
         def flush() -> None:
@@ -553,7 +580,7 @@ def _train_rows(shared, dtype: np.dtype, rate: float):
             order, batch = rng.permutation(len(x)), max(BATCH, min(ROUND_BATCH, len(x) // 64))
             for a in range(0, len(x), batch):
                 rows = order[a : a + batch]
-                adam.step(model.gradients(x[rows], t[rows])[0], rate * min(1.0, (adam.steps + 1) / 50))
+                adam.step(model.gradients(x[rows], t[rows], space=space)[0], rate * min(1.0, (adam.steps + 1) / 50))
             waiting, n, trained = [], 0, trained + n
 
         for batch in batches:
@@ -602,24 +629,25 @@ def fit(rows: DataFrame, path: str | None = None, sample: int = SAMPLE, passes:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of word hashes; the end is the empty word."""
-    import xxhash
-    from collections import Counter
-
-    counts: Counter = Counter()
+    held = HashTable(WORDS)
+    counts = np.zeros(len(held.keys), np.int64)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        names, n = list(counts.keys()), list(counts.values())
-        for a in range(0, len(names), 1 << 17):
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in names[a : a + (1 << 17)]], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[a : a + (1 << 17)], pa.int64())], ["h", "n"])
-        counts.clear()
+        some = np.flatnonzero(held.keys)
+        for a in range(0, len(some), 1 << 17):
+            few = some[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys[few].view(np.int64)), pa.array(counts[few], pa.int64())], ["h", "n"])
+        held.clear()
+        counts[:] = 0
 
     for b in batches:
-        for t in b.column("text").to_pylist():
-            counts.update((t or "").encode("utf-8", "surrogatepass").lower().split())
-        counts[b""] += b.num_rows
-        if len(counts) > 400_000:
-            yield from flush()
+        for a in range(0, b.num_rows, 64):
+            few = b.column("text").slice(a, 64)
+            found = np.concatenate([hashed_words(few)[0], np.full(len(few), END)])
+            for c in range(0, len(found), WORDS // 4):
+                np.add.at(counts, held.find(found[c : c + WORDS // 4], add=True), 1)
+                if held.held > WORDS * 3 // 4:
+                    yield from flush()
     yield from flush()
 
 
@@ -628,53 +656,33 @@ _SCORED = "uid bigint, doc_id bigint, n_tokens bigint, head_known bigint, head_l
 
 def _score(shared, dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         model, hashes, logs = shared.value
-        digest = xxhash.xxh3_64_intdigest
-        fixed = model.fixed()
-        known: dict[bytes, float] = {}  # log10(c + 0.5) of head words met so far, NaN for others
-        end = float(logs[np.searchsorted(hashes, np.uint64(digest(b"")))]) if len(hashes) else float(np.log10(0.5))
+        fixed, space = model.fixed(), {}
+        known = HashTable(len(hashes))
+        values = np.zeros(len(known.keys))  # log10(c + 0.5) of the head words
+        values[known.find(hashes, add=True)] = logs
+        own = known.find(np.array([END]))[0]
+        end = float(values[own]) if own >= 0 else float(np.log10(0.5))
         uid = TaskContext.get().partitionId() << 33
         pairs = pa.struct([("h", pa.int64()), ("n", pa.int64())])
-
-        def logs_of(words: list[bytes]) -> np.ndarray:
-            nonlocal known
-            v = np.fromiter(map(known.get, words, repeat(-1.0)), np.float64, len(words))  # c is at least 1, so no log is -1
-            at = np.flatnonzero(v == -1.0).tolist()
-            if at:
-                new = list({words[i] for i in at})
-                if len(known) + len(new) > 500_000:
-                    known = {}
-                h = np.fromiter(map(digest, new), np.uint64, len(new))
-                place = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-                found = dict(zip(new, (np.where(hashes[place] == h, logs[place], np.nan) if len(hashes) else np.full(len(h), np.nan)).tolist()))
-                v[at] = [found[words[i]] for i in at]
-                known.update(found)
-            return v
-
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 few = batch.slice(a, 64)
-                n, words, sizes = few.num_rows, [], []
-                for t in few.column("text").to_pylist():
-                    own = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                    words += own
-                    sizes.append(len(own))
-                scores = model.score(_sequences(few.column("ids"), dtype, model.end), fixed)
-                v, owner = logs_of(words), np.repeat(np.arange(n), sizes)
-                other = np.isnan(v)
-                n_known = np.bincount(owner[~other], minlength=n) + (1 if len(hashes) else 0)
-                head = np.bincount(owner[~other], v[~other], n) + end
-                rare = np.flatnonzero(other)
-                h = np.fromiter((digest(words[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64)
-                order = np.lexsort((h, owner[rare]))
-                h, owner = h[order], owner[rare][order]
+                n = few.num_rows
+                scores = model.score(_sequences(few.column("ids"), dtype, model.end), fixed, space)
+                h, sizes = hashed_words(few.column("text"))
+                slot, owner = known.find(h), np.repeat(np.arange(n), sizes)
+                met, rare = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+                n_known = np.bincount(owner[met], minlength=n) + (1 if len(hashes) else 0)
+                head = np.bincount(owner[met], values[slot[met]], n) + end
+                h, owner = h[rare].view(np.int64), owner[rare]
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
                 first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)])
                 tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(n + 1)), pa.int32()),
                                                  pa.StructArray.from_arrays([pa.array(h[first], pa.int64()), pa.array(np.diff(first, append=len(h)), pa.int64())], fields=list(pairs)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + n)), few.column("id"), pa.array(np.array(sizes, np.int64) + 1), pa.array(n_known, pa.int64()), pa.array(head), pa.array(scores), tails],
+                    [pa.array(np.arange(uid, uid + n)), few.column("id"), pa.array(sizes + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(head), pa.array(scores), tails],
                     [f.split()[0] for f in ("uid", "doc_id", "n_tokens", "head_known", "head_log", "score", "tail")])
                 uid += n
 
@@ -694,13 +702,11 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count(F.lit(1)).alias("V")).first()
     total = whole.N + 0.5 * (whole.V + 1)
     least = whole.N * head_share
-    end_is_head = F.col("h") == F.lit(_end_hash())
+    end_is_head = F.col("h") == F.lit(int(END.view(np.int64)))
     head = counts.where((F.col("c") >= least) | end_is_head).toPandas()  # at most 1 / head_share words, and the end
-    hashes = head["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    logs = np.log10(head["c"].to_numpy(np.float64) + 0.5)[order]
+    hashes, logs = head["h"].to_numpy(np.int64).view(np.uint64), np.log10(head["c"].to_numpy(np.float64) + 0.5)
     model = fit(seen, tokenizer, sample, passes)
-    shared = docs.sparkSession.sparkContext.broadcast((model, hashes[order], logs))
+    shared = docs.sparkSession.sparkContext.broadcast((model, hashes, logs))
     scored = written(rows.select("id", "text", "ids").mapInArrow(_score(shared, encoder(tokenizer).dtype), _SCORED), "scored")
     tail = scored.select("uid", F.explode("tail").alias("w")).select("uid", "w.h", "w.n")
     rare = counts.where((F.col("c") < least) & ~end_is_head)
@@ -711,12 +717,6 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     return out.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(whole.N).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def _end_hash() -> int:
-    import xxhash
-
-    return int(np.array([xxhash.xxh3_64_intdigest(b"")], np.uint64).view(np.int64)[0])
-
-
 def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = remainder(F.col("doc_id"), 5) == 1

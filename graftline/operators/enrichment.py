@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import NULL_ID
+from ..session import ensure_checkpoint_dir
 from .retrieval import dot
 
 EDGE = ["mention_id", "parent_id", "child_id"]
 #: Between parent and child in the id of an edge with a vector.
 EDGE_MARK = "\x1f"
+#: Places of a block of a concept's pool: in lists by parent, of which the first places are asked for, and where all is.
+LISTED, BLOCK = 128, 2048
 
 
 def concept_edges(concepts: DataFrame, par: DataFrame, ch: DataFrame, include_leaf: bool = True) -> DataFrame:
@@ -55,6 +58,93 @@ def enrich(seeds: DataFrame, par: DataFrame, ch: DataFrame, enrich_leaf_edges: b
     return wide.unionByName(seeds.select(*EDGE)).distinct()
 
 
+def concept_pools(retrieved: DataFrame, par: DataFrame, ch: DataFrame, include_leaf: bool = True, enrichment: bool = True) -> DataFrame:
+    """(concept_id, parent_id, child_id, seed): the distinct edges that each retrieved concept brings to
+    any mention, ``seed`` where they need no enrichment.
+
+    A mention's pool is the union of its concepts' pools: an edge grows alike for every mention, and a
+    concept whose leaf edge can be lifted has a parent, so that its own edge from there lets it. The
+    sentinel is no concept.
+    """
+    ensure_checkpoint_dir(retrieved.sparkSession)
+    concepts = retrieved.select("concept_id").where(F.col("concept_id").isNotNull()).distinct()
+    own = concept_edges(concepts, par, ch, include_leaf).select(F.col("concept_id").alias("mention_id"), "parent_id", "child_id").distinct().checkpoint()  # read by every branch of the enrichment
+    pools = own.withColumn("seed", F.lit(True))
+    if enrichment:
+        pools = pools.unionByName(enrich(own, par, ch).withColumn("seed", F.lit(False))).groupBy(*EDGE).agg(F.max("seed").alias("seed"))
+    return pools.withColumnRenamed("mention_id", "concept_id").checkpoint()  # read by candidates and sizes; a cache would carry its plan into each of theirs
+
+
+def _nameless(retrieved: DataFrame, par: DataFrame, ch: DataFrame, enrichment: bool) -> tuple[DataFrame, DataFrame] | None:
+    """Seeds and pool of the rows without a mention_id, if there are any: nothing matches them, so that
+    their leaf edges aren't lifted."""
+    rows = retrieved.where(F.col("mention_id").isNull())
+    if not rows.limit(1).count():
+        return None
+    seeds = seed_edges(rows, par, ch)
+    return seeds, enrich(seeds, par, ch) if enrichment else seeds
+
+
+def _led(retrieved: DataFrame, pools: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each mention's concept of the largest pool (mention_id, lead), which counts as it is, and the distinct
+    edges (mention_id, lead, parent_id, child_id, seed) of its other concepts, some of which are in that pool."""
+    sizes = pools.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_n"))
+    sized = retrieved.where(F.col("mention_id").isNotNull()).select("mention_id", "concept_id").join(sizes, "concept_id")
+    sized = sized.withColumn("lead", F.max(F.struct("_n", "concept_id")).over(Window.partitionBy("mention_id"))["concept_id"])
+    rest = sized.where(F.col("concept_id") != F.col("lead")).select("mention_id", "lead", "concept_id").join(pools, "concept_id")
+    return sized.where(F.col("concept_id") == F.col("lead")).select("mention_id", "lead").distinct(), rest.groupBy("mention_id", "lead", "parent_id", "child_id").agg(F.max("seed").alias("seed"))
+
+
+def _same_edge(a: DataFrame, b: DataFrame) -> Column:
+    return (a["lead"] == b["_lead"]) & a["parent_id"].eqNullSafe(b["_parent"]) & a["child_id"].eqNullSafe(b["_child"])
+
+
+def _lead_pools(pools: DataFrame) -> DataFrame:
+    return pools.select(F.col("concept_id").alias("_lead"), F.col("parent_id").alias("_parent"), F.col("child_id").alias("_child"), F.col("seed").alias("_seed"))
+
+
+def pool_edges(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame, enrichment: bool = True) -> DataFrame:
+    """Distinct edges of every mention's pool, of which the largest part, the largest pool of one of its
+    concepts, is written out block by block without being compared or moved."""
+    leads, rest = _led(retrieved, pools)
+    known = _lead_pools(pools)
+    rest = rest.join(known, _same_edge(rest, known), "left_anti").select(*EDGE)
+    place = F.row_number().over(Window.partitionBy("concept_id").orderBy("parent_id", "child_id")) - 1
+    blocks = pools.withColumn("_block", F.floor(place / BLOCK)).groupBy(F.col("concept_id").alias("lead"), "_block").agg(F.collect_list(F.struct("parent_id", "child_id")).alias("_edges"))
+    counts = blocks.groupBy("lead").agg(F.count(F.lit(1)).alias("_blocks"))
+    asked = leads.join(counts, "lead").select("mention_id", "lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"))
+    parts = 4 * int(retrieved.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows that become very many
+    whole = asked.repartition(parts, "lead", "_block").join(blocks, ["lead", "_block"]).select("mention_id", F.explode("_edges").alias("e")).select("mention_id", "e.parent_id", "e.child_id")
+    nameless = _nameless(retrieved, par, ch, enrichment)
+    edges = whole.unionByName(rest)
+    return edges.unionByName(nameless[1].select(*EDGE)) if nameless else edges
+
+
+def pool_counts(retrieved: DataFrame, pools: DataFrame) -> DataFrame:
+    """``pool_sizes`` of the seeds and the pool of every mention with an id, without writing the edges out."""
+    leads, rest = _led(retrieved, pools)
+    known = _lead_pools(pools)
+    kept = rest.join(known, _same_edge(rest, known), "left").groupBy("mention_id").agg(
+        F.count_if(F.col("seed") & ~F.coalesce("_seed", F.lit(False))).alias("_before"), F.count_if(F.col("_seed").isNull()).alias("_after"))
+    sizes = pools.groupBy(F.col("concept_id").alias("lead")).agg(F.count_if("seed").alias("_b"), F.count(F.lit(1)).alias("_a"))
+    n = lambda lead, other: (F.col(lead) + F.coalesce(other, F.lit(0))).alias
+    both = leads.join(sizes, "lead").join(kept, "mention_id", "left").select("mention_id", n("_b", "_before")("n_before"), n("_a", "_after")("n_after"))
+    return both.withColumn("factor", F.coalesce(F.try_divide(F.col("n_after"), F.col("n_before")), F.lit(0.0)))
+
+
+def looked_up_counts(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame, scores: DataFrame) -> DataFrame:
+    """(mention_id, n_scored, n_unscored) of the seeds by ``looked_up_scores``: seeds are counted, and only
+    the scored edges are looked up, from the edge to the concepts that bring it to those retrieved."""
+    seeds = pools.where("seed").select("concept_id", "parent_id", "child_id")
+    found = scores.select(*EDGE).join(seeds, ["parent_id", "child_id"]).join(retrieved.select("mention_id", "concept_id").distinct(), ["mention_id", "concept_id"], "left_semi").select(*EDGE).distinct()
+    scored = scores.select(*EDGE).join(found, EDGE, "left_semi").groupBy(*EDGE).agg(F.count(F.lit(1)).alias("_n")).groupBy("mention_id").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_edges"))
+    counted = pool_counts(retrieved, seeds.withColumn("seed", F.lit(True))).select("mention_id", "n_before")
+    nameless = _nameless(retrieved, par, ch, enrichment=False)
+    if nameless:
+        counted = counted.unionByName(nameless[0].groupBy("mention_id").agg(F.count(F.lit(1)).alias("n_before")))
+    return counted.join(scored, "mention_id", "left").select("mention_id", F.coalesce("_rows", F.lit(0)).alias("n_scored"), (F.col("n_before") - F.coalesce("_edges", F.lit(0))).alias("n_unscored"))
+
+
 def endpoint_scores(edges: DataFrame, similarity: DataFrame, null_similarity: float = 0.0) -> DataFrame:
     """Mean similarity of both ends; similarity: mention_id, concept_id, score; missing ends score 0."""
     up = similarity.select("mention_id", F.col("concept_id").alias("parent_id"), F.col("score").alias("_up"))
@@ -64,6 +154,38 @@ def endpoint_scores(edges: DataFrame, similarity: DataFrame, null_similarity: fl
     return joined.select(*edges.columns, ((F.coalesce("_up", F.lit(0.0)) + low) / 2).alias("score"))
 
 
+def near_top(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame, k: int, enrichment: bool = True, null_similarity: float = 0.0) -> DataFrame:
+    """Edges of every mention's pool among which are its first k by ``endpoint_scores``, with and without
+    the leaf rule: the first k leaf edges and the first k others.
+
+    Children that weren't retrieved score alike under the same parent, so that of these only the first k
+    by id count. They are within the first k and as many places more of the parent's list as the mention
+    has concepts; to them come all leaf edges and all edges down to retrieved concepts. A concept's pool
+    has few parents, it and two levels above, whatever lies below.
+    """
+    ensure_checkpoint_dir(retrieved.sparkSession)
+    leaf = F.col("child_id") == NULL_ID
+    known = retrieved.where(F.col("mention_id").isNotNull() & F.col("concept_id").isNotNull()).select("mention_id", "concept_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    best = known.repartition("mention_id").groupBy("mention_id", "concept_id").agg(F.max("score").alias("score"))
+    per = best.groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("concept_id", "score"))).alias("_scores")).checkpoint()  # read four times
+    asked = per.select("mention_id", (F.size("_scores") + k).alias("_last"), F.explode(F.map_keys("_scores")).alias("concept_id"))
+    nth = F.row_number().over(Window.partitionBy("concept_id", "parent_id", F.coalesce(leaf, F.lit(False))).orderBy("child_id"))
+    placed = pools.select("concept_id", "parent_id", "child_id", F.when(leaf, 0).otherwise(nth).alias("_at"))
+    lists = placed.groupBy("concept_id", F.floor(F.col("_at") / LISTED).alias("_block")).agg(F.collect_list(F.struct("parent_id", "child_id", "_at")).alias("_edges"))
+    listed = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / LISTED)))).join(lists, ["concept_id", "_block"])
+    listed = listed.select("mention_id", "_last", F.explode("_edges").alias("e")).where(F.col("e._at") <= F.col("_last")).select("mention_id", "e.parent_id", "e.child_id")
+    far = placed.where(F.col("_at") > k).groupBy("child_id", "concept_id").agg(F.collect_list(F.struct("parent_id")).alias("_parents"))
+    down = asked.select("mention_id", F.col("concept_id").alias("child_id")).join(far, "child_id").join(asked.select("mention_id", "concept_id"), ["mention_id", "concept_id"], "left_semi")
+    down = down.select("mention_id", F.explode("_parents").alias("e"), "child_id").select("mention_id", "e.parent_id", "child_id")
+    end = lambda c: F.coalesce(F.try_element_at("_scores", F.col(c)), F.lit(0.0))
+    score = (end("parent_id") + F.when(leaf, F.lit(float(null_similarity))).otherwise(end("child_id"))) / 2
+    scored = listed.unionByName(down).join(per.hint("shuffle_hash"), "mention_id").select(*EDGE, score.alias("_score"), F.coalesce(leaf, F.lit(False)).alias("_leaf"))
+    order = Window.partitionBy("mention_id", "_leaf").orderBy(F.desc("_score"), F.asc("parent_id"), F.asc("child_id"))
+    first = scored.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= k).select(*EDGE).distinct()
+    nameless = _nameless(retrieved, par, ch, enrichment)
+    return first.unionByName(nameless[1].select(*EDGE)) if nameless else first
+
+
 def looked_up_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores by look-up on (mention_id, parent_id, child_id); an unscored edge comes last."""
     return edges.join(scores.select(*EDGE, F.col("score").alias("_score")), EDGE, "left").select(*edges.columns, F.coalesce("_score", F.lit(float("-inf"))).alias("score"))
@@ -125,8 +247,15 @@ def candidate_set(retrieved: DataFrame, concepts: DataFrame, par: DataFrame, ch:
     """Stage two as one plan: (ranked candidates, pool sizes). scorer: edges -> edges with score;
     by default the mean similarity of the ends by the retrieved scores. seeds: retrieved edges, in
     place of those made from the retrieved concepts."""
-    seeds = (seed_edges(retrieved, par, ch) if seeds is None else seeds.select(*EDGE).distinct()).cache()  # read by every branch of the enrichment and by the sizes
-    pool = enrich(seeds, par, ch) if enrichment else seeds
-    scored = scorer(pool) if scorer else endpoint_scores(pool, retrieved)
     leafy = top_is_leaf(retrieved, concepts, ch) if leaf_priority else None
-    return rank_edges(scored, k, leafy), pool_sizes(seeds, pool)
+    if seeds is not None:
+        seeds = seeds.select(*EDGE).distinct().cache()  # read by every branch of the enrichment and by the sizes
+        pool = enrich(seeds, par, ch) if enrichment else seeds
+        sizes = pool_sizes(seeds, pool)
+    else:
+        pools = concept_pools(retrieved, par, ch, enrichment=enrichment)
+        near = k is not None and not scorer
+        pool = near_top(retrieved, pools, par, ch, k, enrichment) if near else pool_edges(retrieved, pools, par, ch, enrichment)
+        sizes = pool_counts(retrieved, pools)
+    scored = scorer(pool) if scorer else endpoint_scores(pool, retrieved)
+    return rank_edges(scored, k, leafy), sizes

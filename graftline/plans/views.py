@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import NULL_ID
+from ..session import ensure_checkpoint_dir
 
 
 class Tables:
-    """The tables of a folder by name; derived ones that several steps of a plan read are cached."""
+    """The tables of a folder by name; derived ones that several steps of a plan read are
+    checkpointed: every use of a cached one would carry its whole plan along."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._kept = spark, folder, {}
@@ -25,7 +27,8 @@ class Tables:
 
     def kept(self, name: str, make) -> DataFrame:
         if name not in self._kept:
-            self._kept[name] = make().cache()
+            ensure_checkpoint_dir(self.spark)
+            self._kept[name] = make().checkpoint()
         return self._kept[name]
 
 

@@ -59,3 +59,24 @@ def test_looked_up_counts(made):
     scores = scores.unionByName(scores.limit(5)).unionByName(scores.limit(1).withColumn("child_id", F.lit("elsewhere")))
     s = e.looked_up_scores(seeds, scores).groupBy("mention_id").agg(F.count_if(F.col("score") == 1.0).alias("n_scored"), F.count_if(F.col("score") == float("-inf")).alias("n_unscored"))
     assert rows_of(e.looked_up_counts(rows, e.concept_pools(rows, par, par, enrichment=False), par, par, scores)) == rows_of(s)
+
+
+@pytest.mark.parametrize("twice", [True, False])
+def test_near_scores(made, short, twice):
+    """Scores come with the edges, also where a mention has several rows of a concept, and are those of its ends."""
+    par, rows, _, _ = made
+    rows = rows if twice else rows.dropDuplicates(["mention_id", "concept_id"]).checkpoint()
+    pools = e.concept_pools(rows, par, par)
+    scored = rows_of(e.near_scores(rows, pools, par, par, 3, null_similarity=0.25))
+    assert scored == rows_of(e.endpoint_scores(e.near_top(rows, pools, par, par, 3, null_similarity=0.25), rows, 0.25))
+
+
+def test_pools_of_sentinel_and_nulls(spark, made):
+    """Pools by levels, against those grown edge by edge, where the sentinel is retrieved or has children and ends are null."""
+    par, rows, _, _ = made
+    par = par.unionByName(spark.createDataFrame([("c1", e.NULL_ID), (e.NULL_ID, "c2"), (None, "c4"), (None, "hub"), ("c5", None), (None, None)], "parent string, child string")).checkpoint()
+    rows = rows.select("concept_id").unionByName(spark.createDataFrame([(e.NULL_ID,), ("c1",), ("c4",), ("c5",)], "concept_id string")).where("concept_id is not null").distinct().checkpoint()
+    own = e.concept_edges(rows, par, par).withColumnRenamed("concept_id", "mention_id").distinct().checkpoint()
+    marked = own.withColumn("seed", F.lit(True)).unionByName(e.enrich(own, par, par).withColumn("seed", F.lit(False))).groupBy(*e.EDGE).agg(F.max("seed").alias("seed"))
+    assert rows_of(e.concept_pools(rows, par, par)) == rows_of(marked)
+    assert rows_of(e.concept_pools(rows, par, par, enrichment=False)) == rows_of(own.withColumn("seed", F.lit(True)))

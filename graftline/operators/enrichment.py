@@ -162,6 +162,18 @@ def pool_counts(retrieved: DataFrame, pools: DataFrame) -> DataFrame:
     return both.withColumn("factor", F.coalesce(F.try_divide(F.col("n_after"), F.col("n_before")), F.lit(0.0)))
 
 
+def leaf_counts(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame, enrichment: bool = True) -> DataFrame:
+    """(mention_id, n_leaf_edges) of every mention's pool: parents of leaf edges stay in lists until they are at
+    their mention, and no edge is compared with those of another concept before."""
+    lists = pools.where(F.col("child_id") == NULL_ID).groupBy("concept_id").agg(F.collect_list(F.struct("parent_id")).alias("_parents"))
+    rows = retrieved.where(F.col("mention_id").isNotNull()).select("mention_id", "concept_id").join(lists.hint("shuffle_hash"), "concept_id")
+    edges = rows.select("mention_id", "_parents").repartition("mention_id").select("mention_id", F.explode("_parents").alias("e")).select("mention_id", "e.parent_id").distinct()
+    nameless = _nameless(retrieved, par, ch, enrichment)
+    if nameless:
+        edges = edges.unionByName(nameless[1].where(F.col("child_id") == NULL_ID).select("mention_id", "parent_id"))
+    return edges.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n_leaf_edges"))
+
+
 def looked_up_counts(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame, scores: DataFrame) -> DataFrame:
     """(mention_id, n_scored, n_unscored) of the seeds by ``looked_up_scores``: seeds are counted, and only
     the scored edges are looked up, from the edge to the concepts that bring it to those retrieved."""

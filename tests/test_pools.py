@@ -80,3 +80,10 @@ def test_pools_of_sentinel_and_nulls(spark, made):
     marked = own.withColumn("seed", F.lit(True)).unionByName(e.enrich(own, par, par).withColumn("seed", F.lit(False))).groupBy(*e.EDGE).agg(F.max("seed").alias("seed"))
     assert rows_of(e.concept_pools(rows, par, par)) == rows_of(marked)
     assert rows_of(e.concept_pools(rows, par, par, enrichment=False)) == rows_of(own.withColumn("seed", F.lit(True)))
+
+
+def test_leaf_counts(made):
+    par, rows, seeds, pool = made
+    for grown, whole in ((True, pool), (False, seeds)):
+        ours = e.leaf_counts(rows, e.concept_pools(rows, par, par, enrichment=grown), par, par, grown)
+        assert rows_of(ours) == rows_of(whole.where(F.col("child_id") == e.NULL_ID).groupBy("mention_id").count())

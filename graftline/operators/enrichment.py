@@ -214,8 +214,52 @@ def near_scores(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: Data
     return endpoint_scores(near.select(*EDGE), retrieved, null_similarity) if repeated else near
 
 
+def near_ranked(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame, k: int, rules: list[DataFrame | None], enrichment: bool = True) -> list[DataFrame]:
+    """``rank_edges`` of ``near_scores``, cut at k, for each of the given mentions of the leaf rule (None: without it).
+
+    Edges are ranked by numbers where they were cut to the first k of each kind, and only those that stay get their ids.
+    """
+    first, per, codes, repeated = _near_coded(retrieved, pools, k, 0.0)
+    nameless = _nameless(retrieved, par, ch, enrichment)
+    if repeated or nameless:
+        near = _near_named(first, per, codes, nameless, 0.0)
+        near = (endpoint_scores(near.select(*EDGE), retrieved) if repeated else near).checkpoint()
+        return [rank_edges(near, k, leafy) for leafy in rules]
+    if len(rules) > 1:
+        first = first.checkpoint()  # ranked several times
+    out = []
+    for leafy in rules:
+        names = per.select("m", "mention_id")
+        lead = F.lit(0)
+        if leafy is not None:
+            names = names.join(leafy.select("mention_id", F.lit(1).alias("_leafy")), "mention_id", "left")
+            lead = F.when((F.col("_leafy") == 1) & F.col("_leaf"), 0).otherwise(1)
+        order = Window.partitionBy("m").orderBy(lead, F.desc("score"), F.asc("p"), F.asc("x"))
+        ranked = first.join(names, "m").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out.append(_named(ranked, codes).select(*EDGE, "score", "rank"))
+    return out
+
+
+def _named(coded: DataFrame, codes: DataFrame) -> DataFrame:
+    name = lambda column, out: codes.select(F.col("id").alias(out), F.col("code").alias(column))
+    return coded.join(name("p", "parent_id"), "p", "left").join(name("x", "child_id"), "x", "left")
+
+
 def _near(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame, k: int, enrichment: bool, null_similarity: float) -> tuple[DataFrame, bool]:
     """Edges with the score by the best row of each end; whether a mention has several rows of a concept."""
+    first, per, codes, repeated = _near_coded(retrieved, pools, k, null_similarity)
+    return _near_named(first, per, codes, _nameless(retrieved, par, ch, enrichment), null_similarity), repeated
+
+
+def _near_named(first: DataFrame, per: DataFrame, codes: DataFrame, nameless, null_similarity: float) -> DataFrame:
+    near = _named(first.join(per.select("m", "mention_id"), "m"), codes).select(*EDGE, "score")
+    if nameless:
+        near = near.unionByName(nameless[1].select(*EDGE, (F.when(F.col("child_id") == NULL_ID, F.lit(float(null_similarity))).otherwise(F.lit(0.0)) / 2).alias("score")))
+    return near
+
+
+def _near_coded(retrieved: DataFrame, pools: DataFrame, k: int, null_similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(m, p, x, _leaf, score) of ``_near`` by numbers, the mentions' numbers, the ids', and whether a mention has several rows of a concept."""
     ensure_checkpoint_dir(retrieved.sparkSession)
     codes = _codes(pools)
     known = retrieved.where(F.col("mention_id").isNotNull() & F.col("concept_id").isNotNull()).select("mention_id", "concept_id", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -237,13 +281,8 @@ def _near(retrieved: DataFrame, pools: DataFrame, par: DataFrame, ch: DataFrame,
     end = lambda c: F.coalesce(F.try_element_at("_scores", F.col(c)), F.lit(0.0))
     scored = edges.select("m", "p", "x", "_leaf", ((end("p") + F.when(F.col("_leaf"), F.lit(float(null_similarity))).otherwise(end("x"))) / 2).alias("score"))
     order = Window.partitionBy("m", "_leaf").orderBy(F.desc("score"), F.asc("p"), F.asc("x"))
-    first = scored.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= k).select("m", "p", "x", "score").distinct()
-    name = lambda column, out: codes.select(F.col("id").alias(out), F.col("code").alias(column))
-    near = first.join(per.select("m", "mention_id"), "m").join(name("p", "parent_id"), "p", "left").join(name("x", "child_id"), "x", "left").select(*EDGE, "score")
-    nameless = _nameless(retrieved, par, ch, enrichment)
-    if nameless:
-        near = near.unionByName(nameless[1].select(*EDGE, (F.when(F.col("child_id") == NULL_ID, F.lit(float(null_similarity))).otherwise(F.lit(0.0)) / 2).alias("score")))
-    return near, per.where(F.col("_n") > 1).limit(1).count() > 0
+    first = scored.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= k).select("m", "p", "x", "_leaf", "score").distinct()
+    return first, per, codes, per.where(F.col("_n") > 1).limit(1).count() > 0
 
 
 def looked_up_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
@@ -315,7 +354,7 @@ def candidate_set(retrieved: DataFrame, concepts: DataFrame, par: DataFrame, ch:
     else:
         pools = concept_pools(retrieved, par, ch, enrichment=enrichment)
         if k is not None and not scorer:
-            return rank_edges(near_scores(retrieved, pools, par, ch, k, enrichment), k, leafy), pool_counts(retrieved, pools)
+            return near_ranked(retrieved, pools, par, ch, k, [leafy], enrichment)[0], pool_counts(retrieved, pools)
         pool, sizes = pool_edges(retrieved, pools, par, ch, enrichment), pool_counts(retrieved, pools)
     scored = scorer(pool) if scorer else endpoint_scores(pool, retrieved)
     return rank_edges(scored, k, leafy), sizes

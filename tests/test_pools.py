@@ -82,6 +82,19 @@ def test_pools_of_sentinel_and_nulls(spark, made):
     assert rows_of(e.concept_pools(rows, par, par, enrichment=False)) == rows_of(own.withColumn("seed", F.lit(True)))
 
 
+@pytest.mark.parametrize("twice", [True, False])
+def test_near_ranked(spark, made, short, twice):
+    """Candidates ranked by numbers are those ranked by ids over the whole pool, with and without the leaf rule."""
+    par, rows, seeds, pool = made
+    leafy = spark.createDataFrame([("m0",), ("m3",), ("m5",)], "mention_id string")
+    if not twice:
+        rows = rows.where("mention_id is not null and concept_id is not null").dropDuplicates(["mention_id", "concept_id"]).checkpoint()
+        pool = e.enrich(e.seed_edges(rows, par, par), par, par).checkpoint()
+    ranked = e.near_ranked(rows, e.concept_pools(rows, par, par), par, par, 3, [leafy, None])
+    for ours, rule in zip(ranked, (leafy, None)):
+        assert rows_of(ours) == rows_of(e.rank_edges(e.endpoint_scores(pool, rows), 3, rule))
+
+
 def test_leaf_counts(made):
     par, rows, seeds, pool = made
     for grown, whole in ((True, pool), (False, seeds)):

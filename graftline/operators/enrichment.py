@@ -12,7 +12,7 @@ from .retrieval import dot
 EDGE = ["mention_id", "parent_id", "child_id"]
 #: Between parent and child in the id of an edge with a vector.
 EDGE_MARK = "\x1f"
-#: Places of a block of a concept's pool: in lists by parent, of which the first places are asked for, and where all is.
+#: Places of a block of a concept's pool: in lists by parent, of which the first places are asked for (half of that for few), and where all is.
 LISTED, BLOCK = 128, 2048
 
 
@@ -258,6 +258,11 @@ def _near_named(first: DataFrame, per: DataFrame, codes: DataFrame, nameless, nu
     return near
 
 
+def _list_size(k: int) -> int:
+    """Places of a block from which the first k and as many more as a mention has concepts are asked for: whole blocks are sent."""
+    return LISTED if 4 * k > LISTED else max(1, LISTED // 2)
+
+
 def _near_coded(retrieved: DataFrame, pools: DataFrame, k: int, null_similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     """(m, p, x, _leaf, score) of ``_near`` by numbers, the mentions' numbers, the ids', and whether a mention has several rows of a concept."""
     ensure_checkpoint_dir(retrieved.sparkSession)
@@ -271,8 +276,9 @@ def _near_coded(retrieved: DataFrame, pools: DataFrame, k: int, null_similarity:
     numbers = _coded(pools.select("concept_id", "parent_id", "child_id", leaf.alias("_leaf")), codes, concept_id="c", parent_id="p", child_id="x")
     nth = F.row_number().over(Window.partitionBy("c", "p", "_leaf").orderBy("x"))
     placed = numbers.select("c", "p", "x", F.when(F.col("_leaf"), 0).otherwise(nth).alias("_at"))  # leaf edges are at 0
-    lists = placed.groupBy("c", F.floor(F.col("_at") / LISTED).alias("_block")).agg(F.collect_list(F.struct("p", "x", "_at")).alias("_edges"))
-    listed = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / LISTED)))).join(lists, ["c", "_block"]).select("m", "_edges")
+    size = _list_size(k)
+    lists = placed.groupBy("c", F.floor(F.col("_at") / size).alias("_block")).agg(F.collect_list(F.struct("p", "x", "_at")).alias("_edges"))
+    listed = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / size)))).join(lists, ["c", "_block"]).select("m", "_edges")
     far = placed.where(F.col("_at") > k).groupBy("x", "c").agg(F.collect_list(F.struct("p", "x", F.lit(1).alias("_at"))).alias("_edges"))
     down = asked.select("m", F.col("c").alias("x")).join(far, "x").join(asked.select("m", "c"), ["m", "c"], "left_semi").select("m", "_edges")
     # Lists stay whole until they meet the mention's scores.

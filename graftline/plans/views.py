@@ -70,6 +70,12 @@ def concepts(t: Tables) -> DataFrame:
     return t.kept("concepts", lambda: e.select(F.col("parent").alias("id")).unionByName(e.select(F.col("child").alias("id"))).distinct())
 
 
+def below(t: Tables) -> DataFrame:
+    """(id), repeats included: of the concepts without children all are here, so that to tell leaves from the
+    rest these will do in place of ``concepts``, which would be made and written first."""
+    return edges(t).select(F.col("child").alias("id"))
+
+
 def mentions(t: Tables) -> DataFrame:
     return t.customer.select(_id("M", "c_custkey").alias("mention_id"), F.col("c_name").alias("mention"))
 
